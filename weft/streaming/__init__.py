@@ -1,0 +1 @@
+"""Structured Streaming jobs over Kafka-shaped event logs."""

@@ -1,0 +1,161 @@
+"""Structured Streaming jobs that keep the stores current (SS-1 to SS-8, SNK-3 to SNK-7).
+
+Each job is project, filter and ``foreachBatch`` with a keyed write. The checkpoint owns the
+offsets; a batch that is retried overwrites its own folder, so at-least-once delivery gives
+exactly-once tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from weft.operators.contract import (
+    backfill_metadata_id,
+    decode,
+    split_valid,
+    stamp_ingestion,
+    validate,
+    with_required_key,
+)
+from weft.operators.keyed_table import KeyedTable
+from weft.operators.merge import (
+    graph_edges,
+    graph_files,
+    graph_nodes,
+    graph_repositories,
+    incident_edges,
+    placeholders,
+    scope_nodes,
+)
+from weft.schemas import (
+    EDGES_TOPIC,
+    GRAPH_EDGE,
+    GRAPH_FILE,
+    GRAPH_NODE,
+    GRAPH_REPOSITORY,
+    METADATA,
+    NODES_TOPIC,
+    STORED_METADATA,
+)
+
+# Within one key records share a partition, so the offset orders them.
+LOG_ORDER = ("offset", "partition")
+
+# Options of a document-store connector for replace-with-upsert by metadata_id.
+DOCUMENT_UPSERT_OPTIONS = {
+    "operationType": "replace",
+    "idFieldList": "metadata_id",
+    "upsertDocument": "true",
+    "ordered": "false",
+}
+
+
+def metadata_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, STORED_METADATA, ["metadata_id"])
+
+
+def metadata_events(log: DataFrame) -> DataFrame:
+    """Typed metadata events with their log order, usable ones only (PRJ-5 to PRJ-7)."""
+    typed = decode(log, METADATA, LOG_ORDER)
+    return backfill_metadata_id(with_required_key(typed))
+
+
+def upsert_metadata(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """Batch function: stamp, then replace by ``metadata_id`` (SNK-3)."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(stamp_ingestion(batch, batch_id), batch_id, LOG_ORDER)
+
+    return apply
+
+
+def document_store_writer(options: dict[str, str]) -> Callable[[DataFrame, int], None]:
+    """Batch function that writes through a document-store connector instead of a table.
+
+    ``options`` name the connector's format, connection, database and collection.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        settings = {**DOCUMENT_UPSERT_OPTIONS, **options}
+        source = settings.pop("format")
+        stamped = stamp_ingestion(batch, batch_id).drop(*LOG_ORDER)
+        stamped.write.format(source).mode("append").options(**settings).save()
+
+    return apply
+
+
+def start(
+    rows: DataFrame,
+    apply: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Start a ``foreachBatch`` query in append mode with the default trigger (SS-2)."""
+    writer = rows.writeStream.foreachBatch(apply).outputMode("append")
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start_metadata(log: DataFrame, table: KeyedTable, available_now: bool = False) -> StreamingQuery:
+    """The metadata job (SS-1)."""
+    return start(metadata_events(log), upsert_metadata(table), table.checkpoint, available_now)
+
+
+class GraphStore:
+    """Keyed tables of the graph below one folder.
+
+    The node and the edge job write different tables, so events may arrive in any order;
+    placeholder nodes are the read-time difference of edge ends and nodes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path = path.rstrip("/")
+        self.repositories = KeyedTable(spark, f"{path}/repositories", GRAPH_REPOSITORY, ["name"])
+        self.files = KeyedTable(spark, f"{path}/files", GRAPH_FILE, ["id"])
+        self.nodes = KeyedTable(spark, f"{path}/nodes", GRAPH_NODE, ["id"])
+        self.edges = KeyedTable(spark, f"{path}/edges", GRAPH_EDGE, ["id"])
+        self.rejects = f"{path}/rejects"
+
+    def placeholders(self) -> DataFrame:
+        return placeholders(self.nodes.read(), self.edges.read())
+
+    def _valid(self, batch: DataFrame, topic: str, batch_id: int) -> DataFrame:
+        """Valid events; rejected records go to a table of their own (SNK-7)."""
+        valid, rejected = split_valid(validate(batch, topic))
+        rejected.select(*LOG_ORDER, "value", "reject_reason").write.mode("overwrite").parquet(
+            f"{self.rejects}/{topic}/{batch_id}"
+        )
+        return valid
+
+    def apply_nodes(self, batch: DataFrame, batch_id: int) -> None:
+        """Merge node events: repository, file, node (SNK-4, DM-2)."""
+        events = self._valid(batch, NODES_TOPIC, batch_id)
+        self.nodes.upsert(graph_nodes(events, LOG_ORDER), batch_id, LOG_ORDER)
+        self.files.upsert(graph_files(events, LOG_ORDER), batch_id)
+        self.repositories.upsert(graph_repositories(events), batch_id)
+
+    def apply_edges(self, batch: DataFrame, batch_id: int) -> None:
+        """Merge edge events (SNK-5, DM-3)."""
+        events = self._valid(batch, EDGES_TOPIC, batch_id)
+        self.edges.upsert(graph_edges(events, LOG_ORDER), batch_id, LOG_ORDER)
+
+    def delete_files(self, scope: DataFrame, as_of: int) -> None:
+        """Delete the nodes of files and their incident edges (DM-4), between two batches.
+
+        Rows of batches up to ``as_of`` go; what a later batch merges stays.
+        """
+        gone = scope_nodes(self.nodes.read(before=as_of + 1), scope)
+        self.edges.delete(incident_edges(self.edges.read(before=as_of + 1), gone), as_of)
+        self.nodes.delete(gone, as_of)
+
+
+def start_graph(
+    node_log: DataFrame, edge_log: DataFrame, store: GraphStore, available_now: bool = False
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """The two graph jobs (SS-8)."""
+    nodes = start(node_log, store.apply_nodes, f"{store.path}/checkpoints/nodes", available_now)
+    edges = start(edge_log, store.apply_edges, f"{store.path}/checkpoints/edges", available_now)
+    return nodes, edges
