@@ -97,5 +97,11 @@ def split_key_value(line: Column, separator: str = "|") -> tuple[Column, Column]
 
 
 def is_json(text: Column) -> Column:
-    """Whether the whole text is one valid JSON value."""
-    return F.try_parse_json(text).isNotNull()
+    """Whether the whole text is one valid JSON value.
+
+    Spark's parser stops after the first value and ignores what follows. Inside brackets and
+    inside a field the rest of the text has to fit too.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    valued = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.coalesce(listed.isNotNull() & valued.isNotNull(), F.lit(False))

@@ -9,11 +9,18 @@ from pyspark.sql import types as T
 from weft.functions.identity import file_key, metadata_id
 from weft.schemas import CONTRACTS, DEFAULT_STATUS, SCHEMA_VERSION, reject_reason
 
+# Spark's name for the column that receives unreadable values.
+_UNREAD = "_corrupt_record"
+
 
 def decode(log: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The typed fields of the JSON value column (PRJ-5). Malformed JSON gives nulls."""
+    """The typed fields of the JSON value column (PRJ-5). Malformed JSON gives nulls.
+
+    The one-element ``inline`` makes Spark parse each value once. As a plain projection the
+    parse would be repeated for every field that a later filter mentions.
+    """
     data = F.from_json(F.col("value").cast("string"), schema)
-    return log.select(*keep, data.alias("data")).select(*keep, "data.*")
+    return log.select(*keep, F.inline(F.array(data)))
 
 
 def with_required_key(events: DataFrame) -> DataFrame:
@@ -42,10 +49,12 @@ def validate(log: DataFrame, topic: str) -> DataFrame:
     """Typed events of one topic with ``reject_reason``, null where valid (PRJ-11)."""
     schema = CONTRACTS[topic]
     keep = tuple(c for c in log.columns if c != "topic")
-    typed = decode(log, schema, keep)
-    malformed = F.col("value").isNull() | F.try_parse_json(F.col("value").cast("string")).isNull()
-    reason = F.when(malformed, "malformed json").otherwise(reject_reason(schema))
-    typed = typed.withColumn("reject_reason", reason)
+    # The parser keeps the text of a value it could not read, wholly or in part, aside.
+    typed = decode(log, T.StructType([*schema.fields, T.StructField(_UNREAD, T.StringType())]), keep)
+    nothing_read = F.coalesce(*[F.col(f).cast("string") for f in schema.fieldNames()]).isNull()
+    broken = F.col("value").isNull() | (F.col(_UNREAD).isNotNull() & nothing_read)
+    reason = F.when(broken, "malformed json").otherwise(reject_reason(schema))
+    typed = typed.withColumn("reject_reason", reason).drop(_UNREAD)
     if topic in DEFAULT_STATUS:
         typed = typed.withColumn("status", F.coalesce("status", F.lit(DEFAULT_STATUS[topic])))
     return typed

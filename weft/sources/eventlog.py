@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.text import is_json
 from weft.operators.contract import event_key
 from weft.schemas import (
     CONTRACTS,
@@ -115,11 +116,10 @@ def sample_events(lines: DataFrame) -> DataFrame:
     """
     body = F.trim(F.regexp_replace("line", "^[^\t]*\t", ""))
     data = F.from_json(body, ", ".join(f"{f} string" for f in SAMPLE_FIELDS))
-    valid = F.try_parse_json(body).isNotNull()
     return lines.select(
         "topic",
         F.col("line").isNotNull().alias("exists"),
-        (F.col("line").isNotNull() & ~F.coalesce(valid, F.lit(False))).alias("parse_error"),
+        (F.col("line").isNotNull() & ~is_json(body)).alias("parse_error"),
         data.alias("data"),
     ).select("topic", "exists", "parse_error", "data.*")
 
