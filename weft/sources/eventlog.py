@@ -127,11 +127,11 @@ def sample_events(lines: DataFrame) -> DataFrame:
 def read_samples(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """One row per expected sample file; files that do not exist give a null line."""
     listed = spark.createDataFrame(list(paths.items()), "topic string, path string")
-    whole = spark.read.option("wholetext", True).option("ignoreMissingFiles", True)
     found = None
     for topic, path in paths.items():
         try:
-            part = whole.text(path).select(F.lit(topic).alias("topic"), F.trim("value").alias("line"))
+            whole = spark.read.text(path, wholetext=True)
+            part = whole.select(F.lit(topic).alias("topic"), F.trim("value").alias("line"))
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise

@@ -2,38 +2,150 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+from fnmatch import fnmatch
+
+import pandas as pd
+import pyarrow.fs as fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from weft.functions.text import is_excluded_path, relative_path
+from weft.session import materialize
 
+# Ship the walking and reading functions themselves, see weft.operators.extract.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def scan_files(
+
+_LISTING = "path string, length bigint"
+_WALK_SEEDS = 256
+
+
+def _filesystem(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+def _walker(root: str, pattern: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = _filesystem(root)
+        pending = [tuple(row) for batch in batches for row in batch.itertuples(index=False)]
+        while pending:
+            folder, deep = pending.pop()
+            found = []
+            for entry in store.get_file_info(fs.FileSelector(folder)):
+                if entry.type == fs.FileType.Directory:
+                    pending += [(entry.path, True)] if deep else []
+                elif fnmatch(entry.base_name, pattern):
+                    found.append((entry.path, entry.size))
+            yield pd.DataFrame(found, columns=["path", "length"])
+
+    return walk
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
+    """Files below ``root`` whose name matches: path, length. No file is opened.
+
+    Spark's own file sources leave out empty files and names that start with ``_`` or ``.``,
+    and source trees are full of both (``__init__.py``). So tasks walk the folders themselves:
+    the driver lists upper folders until there are enough to share out.
+    """
+    store, top = _filesystem(root)
+    if store.get_file_info(top).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"no such folder: {root}")
+    shallow, deep = [], [top]
+    while deep and len(deep) < _WALK_SEEDS:
+        below = [
+            entry.path
+            for folder in deep
+            for entry in store.get_file_info(fs.FileSelector(folder))
+            if entry.type == fs.FileType.Directory
+        ]
+        shallow, deep = shallow + deep, below
+    seeds = [(folder, False) for folder in shallow] + [(folder, True) for folder in deep]
+    tasks = min(len(seeds), _WALK_SEEDS)
+    frame = spark.createDataFrame(seeds, "folder string, deep boolean").repartition(tasks)
+    return frame.mapInPandas(_walker(root, pattern), _LISTING)
+
+
+def _reader(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = _filesystem(root)
+        for batch in batches:
+            rows, size = [], 0
+            for row in batch.itertuples(index=False):
+                with store.open_input_stream(row.path) as source:
+                    content = source.read()
+                rows.append((*row, content))
+                size += len(content)
+                if size >= _READ_BYTES:
+                    yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
+
+    return read
+
+
+_READ_BYTES = 32 << 20
+_TASK_BYTES = 64 << 20
+_TASK_FILES = 5_000
+
+
+def read_contents(listed: DataFrame, root: str) -> DataFrame:
+    """Add the ``content`` of every listed ``path``.
+
+    The listing, names and sizes only, is written once; its totals set how many tasks share the
+    reading. A fixed number of partitions keeps Spark from packing the tiny rows together.
+    """
+    spark = listed.sparkSession
+    stored = materialize(listed, "listing")
+    files, size = stored.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(spark.sparkContext.defaultParallelism, files // _TASK_FILES, size // _TASK_BYTES)
+    spread = stored.repartition(int(tasks), "path")
+    return spread.mapInPandas(_reader(root), StructType([*stored.schema.fields, _CONTENT]))
+
+
+_CONTENT = StructField("content", BinaryType())
+
+
+def list_sources(
     spark: SparkSession,
     root: str,
     repo_name: str,
     include_excluded: bool = False,
     pattern: str = "*.py",
 ) -> DataFrame:
-    """Source files below ``root``: repo_name, file_path, length, content.
+    """Source files below ``root`` without their content (SRC-1): repo_name, file_path, path, length.
 
-    A missing root is an error. Without ``content`` among the columns used, no file is opened.
+    A missing root is an error.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
-    files = raw.select(
+    _, top = _filesystem(root)
+    files = list_files(spark, root, pattern).select(
         F.lit(repo_name).alias("repo_name"),
-        relative_path(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), root).alias("file_path"),
+        relative_path(F.col("path"), top).alias("file_path"),
+        "path",
         "length",
-        "content",
     )
     return files if include_excluded else files.where(~is_excluded_path(F.col("file_path")))
 
 
+def scan_files(
+    spark: SparkSession,
+    root: str,
+    repo_name: str,
+    include_excluded: bool = False,
+    pattern: str = "*.py",
+    only: str | None = None,
+) -> DataFrame:
+    """Source files with their content; ``only`` selects one file before anything is read (SRC-4)."""
+    listed = list_sources(spark, root, repo_name, include_excluded, pattern)
+    chosen = listed if only is None else one_file(listed, only)
+    return read_contents(chosen, root).drop("path")
+
+
 def one_file(files: DataFrame, file_path: str) -> DataFrame:
     """Only one file of a scan (SRC-4)."""
     return files.where(F.col("file_path") == file_path)
@@ -65,17 +177,19 @@ def read_manifest_object(spark: SparkSession, path: str) -> DataFrame:
 
     A ``files`` entry that is missing or not an array of texts is an error.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = F.try_parse_json("value")
-    files = F.try_variant_get(parsed, "$.files", "array<variant>")
-    names = F.transform(files, lambda f: F.when(F.schema_of_variant(f) == "STRING", f.cast("string")))
-    broken = files.isNull() | F.exists(names, lambda n: n.isNull())
-    checked = F.when(
-        broken, F.raise_error("invalid discovery manifest").cast("array<string>")
-    ).otherwise(names)
-    return text.select(
-        F.try_variant_get(parsed, "$.repo_path", "string").alias("repo_path"), checked.alias("files")
-    ).select("repo_path", F.explode("files").alias("file"))
+    listed = F.try_variant_get(parsed, "$.files", "array<variant>")
+    rows = text.select(
+        F.try_variant_get(parsed, "$.repo_path", "string").alias("repo_path"),
+        listed.isNull().alias("unlisted"),
+        F.explode_outer(listed).alias("entry"),
+    ).where("unlisted OR entry IS NOT NULL")
+    is_name = ~F.col("unlisted") & (F.schema_of_variant("entry") == "STRING")
+    broken = F.raise_error("invalid discovery manifest").cast("string")
+    return rows.select(
+        "repo_path", F.when(is_name, F.col("entry").cast("string")).otherwise(broken).alias("file")
+    )
 
 
 def files_of_manifest(scan: DataFrame, listed: DataFrame) -> DataFrame:
