@@ -125,10 +125,13 @@ def test_keyed_table_against_a_model(spark, tmp_path):
         model |= rows
         if seq in (2, 4):
             gone = sorted(model)[:2]
-            table.delete(spark.createDataFrame([(k,) for k in gone], "k string"), as_of=seq)
+            for key in gone:  # two deletes between the same batches
+                table.delete(spark.createDataFrame([(key,)], "k string"))
             model = {k: v for k, v in model.items() if k not in gone}
         if seq == 3:
             table.compact()
+            table.delete(spark.createDataFrame([(min(model),)], "k string"))
+            del model[min(model)]
         assert {r.k: r.v for r in table.read().collect()} == model
     assert {r.k: r.v for r in table.read(before=5).collect()} == history[5]
 
@@ -195,8 +198,9 @@ def test_replay_with_and_without_cleanup(spark, sources, tmp_path):
     apply(1, 1 << 50)
     assert probe() == (14, 27)
     scope = spark.createDataFrame([("example", "probe.py")], "repo_name string, file_path string")
-    store.delete_files(scope, as_of=1)
+    assert store.delete_files(scope).count() == 14
     assert probe() == (0, 0)
+    assert store.delete_files(scope).count() == 0
     assert store.nodes.read().where("file_path = 'other.py'").count() == 5
     apply(2, 1 << 50)
     assert probe() == (14, 26)

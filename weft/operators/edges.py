@@ -118,19 +118,22 @@ def with_context(nodes: DataFrame, scope: Sequence[str] = FILE) -> DataFrame:
     return nodes.join(contexts, [*scope, "structural_path"], "left")
 
 
-def typed_edges(nodes: DataFrame, recorded_parents: bool = False) -> DataFrame:
+def typed_edges(
+    nodes: DataFrame, recorded_parents: bool = False, scope: Sequence[str] = FILE
+) -> DataFrame:
     """Union of the four edge sets (ST-1).
 
     With unique node ids no edge can occur twice: the target of an AST, CFG or DFG edge and
     the source of a CALL edge each occur once per type. Tables without that guarantee go
-    through :func:`distinct_edges`.
+    through :func:`distinct_edges`. Columns added to ``scope`` that depend on the file, such
+    as its hash, reach the edges without a join.
     """
-    tree = recorded_tree_edges(nodes) if recorded_parents else tree_edges(nodes)
+    tree = recorded_tree_edges(nodes, scope) if recorded_parents else tree_edges(nodes, scope)
     names = nodes.where("node_type = 'Name'")
     return (
-        tree.unionByName(sequence_edges(nodes))
-        .unionByName(definition_edges(names))
-        .unionByName(call_edges(nodes))
+        tree.unionByName(sequence_edges(nodes, scope))
+        .unionByName(definition_edges(names, scope=scope))
+        .unionByName(call_edges(nodes, scope))
     )
 
 

@@ -62,16 +62,15 @@ def duplicate_summary(df: DataFrame, keys: Sequence[str], name: str) -> DataFram
 
 
 def duplicate_documents(metadata: DataFrame, limit: int | None = DOCUMENT_SAMPLE) -> DataFrame:
-    """Repeated metadata ids with the set of their files (AG-6).
+    """Repeated metadata ids, a row for each of their distinct files (AG-6).
 
-    Ids and files are reduced to distinct pairs first; the sets of the listed ids alone
-    are collected, after the cut to ``limit``.
+    Rows instead of one array per id: an id may stand for any number of files. ``limit`` cuts
+    the list of ids, not of files.
     """
     pairs = metadata.groupBy("metadata_id", "file_path").agg(F.count("*").alias("n"))
     groups = pairs.groupBy("metadata_id").agg(F.sum("n").alias("count")).where("count > 1")
     listed = groups if limit is None else groups.orderBy("metadata_id").limit(limit)
-    files = pairs.join(listed, "metadata_id").groupBy("metadata_id", "count")
-    return files.agg(F.sort_array(F.collect_set("file_path")).alias("files"))
+    return pairs.join(listed, "metadata_id").select("metadata_id", "count", "file_path")
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:

@@ -349,13 +349,15 @@ def ag10(spark, sf_dir):
 
 @query(
     "ag6_duplicate_documents",
-    f"""{_LOG} SELECT metadata_id, count(*) AS count, array_to_string(list_sort(list(DISTINCT file_path)), ',') AS files
-    FROM usable GROUP BY 1 HAVING count(*) > 1 ORDER BY metadata_id LIMIT 10""",
+    f"""{_LOG}, listed AS (
+      SELECT metadata_id, count(*) AS count FROM usable GROUP BY 1 HAVING count(*) > 1
+      ORDER BY metadata_id LIMIT 10)
+    SELECT DISTINCT u.metadata_id, count, file_path FROM usable u JOIN listed l
+      ON u.metadata_id = l.metadata_id""",
 )
 def ag6(spark, sf_dir):
     """The raw event stream as if it were the store: every user repeats."""
-    listed = R.duplicate_documents(metadata_events(_log(spark, sf_dir)))
-    return listed.withColumn("files", F.array_join("files", ","))
+    return R.duplicate_documents(metadata_events(_log(spark, sf_dir)))
 
 
 @query(

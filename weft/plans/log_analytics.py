@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.sources.files import list_files
+
 # Fixed value: the form of a per-file parse line.
 PARSED_LINE = r"Parsed\s+(.+?):\s+nodes=(\d+)\s+edges=(\d+)\s+metadata=(\d+)"
 
@@ -82,10 +84,10 @@ def artifact_inventory(spark: SparkSession, root: str, required: DataFrame) -> D
 
     Only names and sizes are read.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = F.lit(root.rstrip("/") + "/")
-    below = F.element_at(F.split("path", prefix), -1)
-    found = listing.select(below.alias("artifact"), F.col("length").alias("size_bytes"))
+    prefix = root.rstrip("/") + "/"
+    found = list_files(spark, root, "*").select(
+        F.substr("path", F.lit(len(prefix) + 1)).alias("artifact"), F.col("length").alias("size_bytes")
+    )
     return required.join(found, "artifact", "left").select(
         "artifact", F.col("size_bytes").isNotNull().alias("exists"), "size_bytes"
     )

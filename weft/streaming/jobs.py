@@ -7,7 +7,8 @@ exactly-once tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -40,6 +41,7 @@ from weft.schemas import (
     NODES_TOPIC,
     STORED_METADATA,
 )
+from weft.session import materialize
 
 # Within one key records share a partition, so the offset orders them.
 LOG_ORDER = ("offset", "partition")
@@ -122,34 +124,43 @@ class GraphStore:
     def placeholders(self) -> DataFrame:
         return placeholders(self.nodes.read(), self.edges.read())
 
-    def _valid(self, batch: DataFrame, topic: str, batch_id: int) -> DataFrame:
-        """Valid events; rejected records go to a table of their own (SNK-7)."""
-        valid, rejected = split_valid(validate(batch, topic))
-        rejected.select(*LOG_ORDER, "value", "reject_reason").write.mode("overwrite").parquet(
-            f"{self.rejects}/{topic}/{batch_id}"
-        )
-        return valid
+    @contextmanager
+    def _valid(self, batch: DataFrame, topic: str, batch_id: int) -> Iterator[DataFrame]:
+        """Valid events of a batch; rejected records go to a table of their own (SNK-7).
+
+        Several tables are written from one batch, so its parsed rows are kept meanwhile.
+        """
+        checked = validate(batch, topic).persist()
+        try:
+            valid, rejected = split_valid(checked)
+            rejected.select(*LOG_ORDER, "value", "reject_reason").write.mode("overwrite").parquet(
+                f"{self.rejects}/{topic}/{batch_id}"
+            )
+            yield valid
+        finally:
+            checked.unpersist()
 
     def apply_nodes(self, batch: DataFrame, batch_id: int) -> None:
         """Merge node events: repository, file, node (SNK-4, DM-2)."""
-        events = self._valid(batch, NODES_TOPIC, batch_id)
-        self.nodes.upsert(graph_nodes(events, LOG_ORDER), batch_id, LOG_ORDER)
-        self.files.upsert(graph_files(events, LOG_ORDER), batch_id)
-        self.repositories.upsert(graph_repositories(events), batch_id)
+        with self._valid(batch, NODES_TOPIC, batch_id) as events:
+            self.nodes.upsert(graph_nodes(events, LOG_ORDER), batch_id, LOG_ORDER)
+            self.files.upsert(graph_files(events, LOG_ORDER), batch_id)
+            self.repositories.upsert(graph_repositories(events), batch_id)
 
     def apply_edges(self, batch: DataFrame, batch_id: int) -> None:
         """Merge edge events (SNK-5, DM-3)."""
-        events = self._valid(batch, EDGES_TOPIC, batch_id)
-        self.edges.upsert(graph_edges(events, LOG_ORDER), batch_id, LOG_ORDER)
+        with self._valid(batch, EDGES_TOPIC, batch_id) as events:
+            self.edges.upsert(graph_edges(events, LOG_ORDER), batch_id, LOG_ORDER)
 
-    def delete_files(self, scope: DataFrame, as_of: int) -> None:
+    def delete_files(self, scope: DataFrame) -> DataFrame:
         """Delete the nodes of files and their incident edges (DM-4), between two batches.
 
-        Rows of batches up to ``as_of`` go; what a later batch merges stays.
+        Returns the deleted nodes. What a later batch merges stays.
         """
-        gone = scope_nodes(self.nodes.read(before=as_of + 1), scope)
-        self.edges.delete(incident_edges(self.edges.read(before=as_of + 1), gone), as_of)
-        self.nodes.delete(gone, as_of)
+        gone = materialize(scope_nodes(self.nodes.read(), scope), "deleted")
+        self.edges.delete(incident_edges(self.edges.read(), gone))
+        self.nodes.delete(gone)
+        return gone
 
 
 def start_graph(
