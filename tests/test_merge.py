@@ -109,7 +109,8 @@ def test_changed_files(spark):
 def test_replay_summary(spark, states):
     metadata = M.replace_upsert(states["old_metadata"], states["new_metadata"], ["metadata_id"])
     replaced = M.replace_scope(*states["old"], scope(spark), *states["new"])
-    before = dict(zip(("nodes", "edges"), merged(states)), metadata=states["old_metadata"])
+    tables = dict(zip(("nodes", "edges"), merged(states)), metadata=states["old_metadata"])
+    before = V.file_state(tables, "example", FILE)
     after = dict(zip(("nodes", "edges"), replaced), metadata=metadata)
     row = V.replay_summary(before, after, "example", FILE, F.lit(HASHES["modified.py"])).first()
     assert (row.node_count_before, row.edge_count_before) == (14, 27)

@@ -111,7 +111,7 @@ def test_reset_starts_over(spark, write_log, tmp_path):
 
 def test_keyed_table_against_a_model(spark, tmp_path):
     schema = METADATA.__class__.fromDDL("k string, v int")
-    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"])
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], ["v"])
     assert table.read().count() == 0
     rng, model = random.Random(5), {}
     history = {}
@@ -126,14 +126,19 @@ def test_keyed_table_against_a_model(spark, tmp_path):
         if seq in (2, 4):
             gone = sorted(model)[:2]
             for key in gone:  # two deletes between the same batches
-                table.delete(spark.createDataFrame([(key,)], "k string"))
+                table.delete(table.read().where(F.col("k") == key))
             model = {k: v for k, v in model.items() if k not in gone}
         if seq == 3:
             table.compact()
-            table.delete(spark.createDataFrame([(min(model),)], "k string"))
+            table.delete(table.read().where(F.col("k") == min(model)))
             del model[min(model)]
         assert {r.k: r.v for r in table.read().collect()} == model
     assert {r.k: r.v for r in table.read(before=5).collect()} == history[5]
+    some = sorted(model)[::2]
+    read = table.read(only=F.col("k").isin(*some)).collect()
+    assert {r.k: r.v for r in read} == {k: model[k] for k in some}
+    gone = set("k%d" % i for i in range(12)) - set(model)
+    assert table.read(only=F.col("k").isin("none", *gone)).count() == 0
 
 
 def publish(sources, path, files, first_offset=0):

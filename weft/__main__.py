@@ -7,6 +7,7 @@ import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.operators.contract import display, find_metadata
 from weft.operators.graph import edge_sample, one_file_counts
@@ -56,7 +57,9 @@ def verify_graph(spark: SparkSession, args: argparse.Namespace) -> int:
     for table in (nodes, edges):
         _show(duplicate_groups(table, ["id"]).orderBy("id"), GRAPH_SAMPLE)
     if args.file:
-        _show(one_file_counts(nodes, edges, args.repo, args.file))
+        # Node ids belong to one file for ever, so the scan itself can be cut to the file.
+        mine = (F.col("repo_name") == args.repo) & (F.col("file_path") == args.file)
+        _show(one_file_counts(store.nodes.read(only=mine), edges, args.repo, args.file))
         _show(edge_sample(edges, nodes, args.repo, args.file))
     return 0 if health.first().passed else 1
 

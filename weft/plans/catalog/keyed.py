@@ -206,4 +206,5 @@ def vr5(spark, sf_dir):
 
     before = {"nodes": g["nodes"], "edges": g["edges"], "metadata": documents(False)}
     after = {"nodes": nodes, "edges": edges, "metadata": documents(True)}
-    return V.replay_summary(before, after, "orders", "cust/27", F.sha2(F.lit("cust/27v2"), 256))
+    state = V.file_state(before, "orders", "cust/27")
+    return V.replay_summary(state, after, "orders", "cust/27", F.sha2(F.lit("cust/27v2"), 256))

@@ -117,8 +117,9 @@ class GraphStore:
         self.path = path.rstrip("/")
         self.repositories = KeyedTable(spark, f"{path}/repositories", GRAPH_REPOSITORY, ["name"])
         self.files = KeyedTable(spark, f"{path}/files", GRAPH_FILE, ["id"])
-        self.nodes = KeyedTable(spark, f"{path}/nodes", GRAPH_NODE, ["id"])
-        self.edges = KeyedTable(spark, f"{path}/edges", GRAPH_EDGE, ["id"])
+        by_file = ["repo_name", "file_path"]
+        self.nodes = KeyedTable(spark, f"{path}/nodes", GRAPH_NODE, ["id"], by_file)
+        self.edges = KeyedTable(spark, f"{path}/edges", GRAPH_EDGE, ["id"], by_file)
         self.rejects = f"{path}/rejects"
 
     def placeholders(self) -> DataFrame:

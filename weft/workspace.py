@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.plans.build import Build, build
-from weft.plans.reports import replay_summary
+from weft.plans.reports import file_state, replay_summary
 from weft.schemas import EDGES_TOPIC, METADATA_TOPIC, NODES_TOPIC
 from weft.session import materialize
 from weft.sources.eventlog import read_log, stream_log
@@ -50,25 +50,23 @@ class Workspace:
         for job in jobs:
             job.awaitTermination()
 
-    def state(self) -> dict[str, DataFrame]:
-        """The current tables, written down so that a later change does not reach them."""
-        tables = {
+    def tables(self) -> dict[str, DataFrame]:
+        return {
             "nodes": self.graph.nodes.read(),
             "edges": self.graph.edges.read(),
             "metadata": self.metadata.read(),
         }
-        return {name: materialize(df, f"state-{name}") for name, df in tables.items()}
 
     def replay(self, files: DataFrame, repo: str, file: str, replace: bool = True) -> DataFrame:
         """Parse one file again, replace its graph, and report the state before and after (VR-5).
 
         The jobs are run to completion, so the report needs no waiting time.
         """
-        before = self.state()
+        before = materialize(file_state(self.tables(), repo, file), "before")
         if replace:
             scope = self.spark.createDataFrame([(repo, file)], "repo_name string, file_path string")
             self.graph.delete_files(scope)
         run = self.publish(files)
         self.ingest()
         new_hash = run.metadata.agg(F.max("file_hash")).first()[0]
-        return replay_summary(before, self.state(), repo, file, F.lit(new_hash))
+        return replay_summary(before, self.tables(), repo, file, F.lit(new_hash))
