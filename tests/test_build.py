@@ -134,11 +134,12 @@ def test_literals_do_not_change_ids(sources):
 def test_split_files_give_the_same_edges(sources, monkeypatch):
     """With the limits at their lowest every file is cut into many chunks."""
     files = {n: g[0] for n, g in GRAPHS.items()}
+    files["wide.py"] = b"; ".join(b"w%d = w%d" % (i % 5, (i * 2) % 5) for i in range(60)) + b"\n"
     files["long.py"] = b"".join(b"v%d = v%d\n" % (i % 7, (i * 3) % 7) for i in range(300))
     whole = E.typed_edges(P.parsed_nodes(P.extract(sources(files))))
     want = {tuple(r) for r in whole.collect()}
     monkeypatch.setattr(P, "SPLIT_BYTES", 0)
-    monkeypatch.setattr(P, "CHUNK_LINES", 2)
+    monkeypatch.setattr(P, "CHUNK_COLUMNS", 3)
     rows = P.parsed_nodes(P.extract(sources(files)))
     # An empty file is no larger than zero bytes and stays whole.
     assert rows.where("is_split").select("chunk").distinct().count() > 50

@@ -3,9 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_DIR
 from weft.operators import edges as E
 from weft.operators.merge import latest_per_key
 from weft.operators.sequence import chunked, with_last, with_next
+from weft.plans import adapters as A
 
 
 def rows(seed):
@@ -76,3 +78,16 @@ def test_uniqueness_assertion(spark):
     broken = spark.createDataFrame([("r", "f", "1", "a"), ("r", "f", "2", "a")], schema)
     with pytest.raises(Exception, match="1 repeated node identities"):
         E.assert_unique(broken).collect()
+
+
+def test_token_nodes_give_the_same_edges_when_split(spark, monkeypatch):
+    """All documents cut at their lowest limits, against the same documents left whole."""
+    whole = A.token_nodes(spark, SF_DIR)
+    want = [E.sequence_edges(whole), E.definition_edges(whole)]
+    monkeypatch.setattr(A, "SPLIT_CHARS", 0)
+    monkeypatch.setattr(A, "CHUNK_TOKENS", 4)
+    cut = A.token_nodes(spark, SF_DIR)
+    assert cut.where("chunk IS NULL").count() == 0
+    for expected, got in zip(want, [E.sequence_edges(cut), E.definition_edges(cut)]):
+        assert got.count() == expected.count()
+        assert got.exceptAll(expected).count() == 0

@@ -27,6 +27,17 @@ def chunked(df: DataFrame, chunk: Column, is_split: Column | None = None) -> Dat
     return df.withColumn("is_split", split).withColumn("chunk", F.when(F.col("is_split"), chunk))
 
 
+def position_chunk(width: int) -> Column:
+    """Chunks of source positions: a line, long lines by ``width`` columns.
+
+    Nodes without a position (line 0) sort by structural path, so theirs are cut by a prefix.
+    """
+    line = F.lpad(F.col("lineno").cast("string"), 10, "0")
+    block = F.lpad(F.floor(F.col("col_offset") / width).cast("string"), 8, "0")
+    prefix = F.when(F.col("lineno") == 0, F.substring("structural_path", 1, 32))
+    return F.concat(line, block, F.coalesce(prefix, F.lit("")))
+
+
 def with_next(
     df: DataFrame,
     group: Sequence[str],

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from weft.functions.identity import edge_id, metadata_id, node_id
 from weft.functions.text import iso_utc
 from weft.operators.edges import sequence_edges
-from weft.operators.sequence import chunked
+from weft.operators.sequence import chunked, position_chunk
 from weft.schemas import EDGES_TOPIC, ERRORS_TOPIC, METADATA, METADATA_TOPIC, NODES_TOPIC
 from weft.sources.eventlog import event_json
 
 # Documents longer than this many characters have their token sequence cut into chunks.
 SPLIT_CHARS = 8_000_000
-CHUNK_LINES = 8192
+CHUNK_TOKENS = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +85,7 @@ def token_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.lit(0).alias(c) for c in ("lineno", "col_offset", "end_lineno", "end_col_offset")],
     )
     nodes = inner.unionByName(modules).withColumn("node_id", node_id())
-    return chunked(nodes, F.floor(F.col("lineno") / CHUNK_LINES), F.col("is_split"))
+    return chunked(nodes, position_chunk(CHUNK_TOKENS), F.col("is_split"))
 
 
 # The node table of token_nodes in SQL; queries put it into their WITH list.
@@ -306,8 +306,8 @@ def order_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         )
 
     def edges(rows: DataFrame) -> DataFrame:
-        # A customer may hold any share of the orders: cut the sequence by years.
-        laid_out = chunked(rows, F.year("day"))
+        # A customer may hold any share of the orders: cut the sequence by days.
+        laid_out = chunked(rows, F.to_date("day"))
         linked = sequence_edges(laid_out, order=("day", "id"), id_col="id")
         hashed = linked.join(rows.select("repo_name", "file_path", F.col("id").alias("source_id"), "file_hash"), ["repo_name", "file_path", "source_id"])
         return hashed.select(
