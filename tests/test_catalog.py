@@ -21,7 +21,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, db, name):
     result = QUERIES[name](spark, SF_DIR)
     relation = db.sql(ORACLES[name])
