@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe
+from weft.llm import bpe, minhash, pii, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of its decoding."""
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+
+
+@query
+def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles have a similarity of 0.8 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the weakly supervised rules."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept quality".split()
+    return judged.select(*columns)
+
+
+@query
+def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and of the terms that disclose it."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+# Verdict, host and path of the rules.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
