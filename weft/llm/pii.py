@@ -66,26 +66,58 @@ def _may(kind: str, text: Column) -> Column:
     }[kind]
 
 
-SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
+_BLOCK = 256
+
+
+def _appended(a: Column, item: Column) -> list[Column]:
+    """``a.block`` and ``a.blocks`` with one item more: a full block goes to the blocks, so that long lists are not copied for each item."""
+    full = F.size(a.block) >= _BLOCK
+    return [
+        F.when(full, F.array(item)).otherwise(F.concat(a.block, F.array(item))).alias("block"),
+        F.when(full, F.concat(a.blocks, F.array(a.block))).otherwise(a.blocks).alias("blocks"),
+    ]
+
+
+def _gathered(items: Column, kind: str, step) -> Column:
+    """The array (``kind``) of what ``step`` (position, item) keeps; it returns the next position, the condition and the value."""
+
+    def merge(a: Column, x: Column) -> Column:
+        at, held, value = step(a.at, x)
+        block, blocks = _appended(a, value)
+        return F.struct(
+            at.alias("at"),
+            F.when(held, block).otherwise(a.block).alias("block"),
+            F.when(held, blocks).otherwise(a.blocks).alias("blocks"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("at"), F.array().cast(kind).alias("block"), F.array().cast(f"array<{kind}>").alias("blocks")
+    )
+    return F.aggregate(items, start, merge, lambda a: F.concat(F.flatten(a.blocks), a.block))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Matches in order: the text since the last one (0), the match (1) and the text up to the next one (2)."""
+    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    after = F.slice(between, 2, F.greatest(F.size(between), F.lit(1)))
+    return F.filter(F.arrays_zip(between.alias("0"), hits.alias("1"), after.alias("2")), lambda x: x["1"].isNotNull())
 
 
 def _spans(order: int, kind: str, text: Column) -> Column:
-    """Spans of one kind: the lengths between and of the matches add up to positions."""
-    pattern = F.lit(PATTERNS[kind])
-    between, hits = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    empty = F.lit(None).cast(SPAN)
-    none = F.array().cast(SPAN)
-
-    def step(a: Column, x: Column) -> Column:
-        start = a.at + F.length(x["0"])
+    """Spans of one kind with the text beside them, up to the next match: the lengths add up to positions."""
+
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        start = at + F.length(x["0"])
         end = start + F.length(x["1"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), x["1"].alias("value"))
-        held = F.when(_holds(kind, x["1"]), F.concat(a.out, F.array(span))).otherwise(a.out)
-        return F.struct(end.alias("at"), held.alias("out"))
+        left, right = F.substring(x["0"], -NEAR_CHARS, NEAR_CHARS), F.substring(x["2"], 1, NEAR_CHARS)
+        span = F.struct(
+            start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), x["1"].alias("value"), left.alias("left"), right.alias("right")
+        )
+        return end, _holds(kind, x["1"]), span
 
-    pairs = F.filter(F.arrays_zip(between.alias("0"), hits.alias("1")), lambda x: x["1"].isNotNull())
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a.out)
-    return F.coalesce(F.when(_may(kind, text), found).otherwise(empty), none)
+    found = _gathered(_matches(text, PATTERNS[kind]), SPAN, step)
+    return F.coalesce(F.when(_may(kind, text), found), F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -96,47 +128,39 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _contexts(based: DataFrame) -> DataFrame:
-    """(entity, doc_id, place, word, start, end): the words near each span of ``base`` (doc_id, t, base)."""
-    spans = based.select("doc_id", "t", F.explode("base").alias("s"))
-    left_from = F.greatest(F.col("s.start") - NEAR_CHARS, F.lit(0))
+    """(entity, doc_id, context, word, start, end): the words near each span of ``base``."""
+    spans = based.select("doc_id", F.explode("base").alias("s"))
+
+    def side(left: bool, origin: Column, text: Column) -> Column:
+        return F.struct(F.lit(left).alias("left"), origin.alias("origin"), text.alias("side"))
+
+    left, right = F.col("s.left"), F.col("s.right")
     sides = spans.select(
         "doc_id",
         F.xxhash64("s.kind", F.lower("s.value")).alias("entity"),
-        F.xxhash64(F.expr(f"substring(t, greatest(s.start - {NEAR_CHARS}, 0) + 1, s.start - greatest(s.start - {NEAR_CHARS}, 0))"), F.expr(f"substring(t, s.end + 1, {NEAR_CHARS})")).alias("context"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(True).alias("left"), left_from.alias("origin"), F.expr(f"substring(t, greatest(s.start - {NEAR_CHARS}, 0) + 1, s.start - greatest(s.start - {NEAR_CHARS}, 0))").alias("side")),
-                F.struct(F.lit(False).alias("left"), F.col("s.end").alias("origin"), F.expr(f"substring(t, s.end + 1, {NEAR_CHARS})").alias("side")),
-            )
-        ).alias("side"),
+        F.xxhash64(left, right).alias("context"),
+        F.explode(F.array(side(True, F.col("s.start") - F.length(left), left), side(False, F.col("s.end"), right))).alias("side"),
     ).select("doc_id", "entity", "context", "side.*")
-    # The word at the cut may be a part of one, as may a word that touches the span.
-    between, hits = F.split("side", WORD, -1), F.regexp_extract_all("side", F.lit(WORD), F.lit(0))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a.at + F.length(x["0"])
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        start = at + F.length(x["0"])
         end = start + F.length(x["1"])
+        # A word at the cut may be a part of one, as may a word that touches the span.
         word = F.struct(start.alias("start"), end.alias("end"), x["1"].alias("word"))
-        return F.struct(end.alias("at"), F.concat(a.out, F.array(word)).alias("out"))
+        return end, (start > 0) & (end < F.length("side")), word
 
-    none = F.array().cast("array<struct<start:int,end:int,word:string>>")
-    pairs = F.filter(F.arrays_zip(between.alias("0"), hits.alias("1")), lambda x: x["1"].isNotNull())
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a.out)
-    whole = F.filter(found, lambda w: (w.start > 0) & (w.end < F.length("side")))
-    placed = sides.withColumn("words", whole)
+    placed = sides.withColumn("words", _gathered(_matches(F.col("side"), WORD), "array<struct<start:int,end:int,word:string>>", step))
     near = F.when(F.col("left"), F.slice("words", F.greatest(F.size("words") - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS)).otherwise(
         F.slice("words", 1, NEAR_WORDS)
     )
-    return (
-        placed.select("doc_id", "entity", "context", "origin", F.explode(near).alias("w"))
-        .select(
-            "doc_id",
-            "entity",
-            "context",
-            F.xxhash64(F.lower("w.word")).alias("word"),
-            (F.col("origin") + F.col("w.start")).alias("start"),
-            (F.col("origin") + F.col("w.end")).alias("end"),
-        )
+    found = placed.select("doc_id", "entity", "context", "origin", F.explode(near).alias("w"))
+    return found.select(
+        "doc_id",
+        "entity",
+        "context",
+        F.xxhash64(F.lower("w.word")).alias("word"),
+        (F.col("origin") + F.col("w.start")).alias("start"),
+        (F.col("origin") + F.col("w.end")).alias("end"),
     )
 
 
@@ -160,7 +184,7 @@ def term_spans(docs: DataFrame, based: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, terms) for each row of ``docs``; terms are arrays of (start, end) in order."""
     texts = docs.select("doc_id", "text")
-    based = materialize(base_spans(texts).select("doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("t")), "spans")
+    based = materialize(base_spans(texts).select("doc_id", "base"), "spans")
     terms = term_spans(texts, based.filter(F.size("base") > 0))
     lists = terms.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int>>")
