@@ -52,7 +52,7 @@ TEXTS = [
     "1.2.3.4.5.6.7.8", "1.2.3.256 1.2.3.0255 00000000000000000001.2.3.4", "1.2.3 .4", "999999999999999999999999.1.1.1",
     "4111111111111111 4111-1111-1111-1111 4111 1111 1111 1111 4111  1111", "41111111111111110000", "1 4111111111111111", "12-4111111111111111",
     "+1 (482) 555-7163 +1 482", "+12345678901234567", "++1 234 567 8901.", "+1.2.3.4.5.6.7.8.9.0 +1-234-567-8901)", "\U0001f600 +1 (482) 555-7163",
-    "9" * 200_000, "a" * 200_000, "a." * 100_000 + "@", "1." * 50_000, "1 " * 100_000, "@" * 1000, "+1" * 20_000, "a@" + "b." * 900 + "c",
+    "9" * 200_000, "a" * 200_000, "a." * 100_000 + "@", "1." * 2_000, "1 " * 100_000, "@" * 1000, "+1" * 5_000, "a@" + "b." * 900 + "c",
     "4222222222222 378282246310005", "0" * 14,
 ]
 

@@ -168,7 +168,10 @@ def term_spans(docs: DataFrame, based: DataFrame) -> DataFrame:
     """(doc_id, start, end) of the words near entities that exceed the limits. ``based``: rows with spans."""
     near = materialize(_contexts(based), "contexts")
     pairs = near.groupBy("entity", "word").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("both"))
-    pairs = materialize(pairs.filter(F.col("contexts") >= MIN_CONTEXTS), "pairs")
+    # A word stands in at least as many documents as it stands in near any entity, which rules out most pairs.
+    least = near.groupBy("word").agg(F.count_distinct("doc_id").alias("least"))
+    pairs = pairs.filter(F.col("contexts") >= MIN_CONTEXTS).join(least, "word").filter(F.col("both") >= MIN_CHANCE * F.col("least"))
+    pairs = materialize(pairs.drop("least"), "pairs")
     entities = near.join(pairs.select("entity").distinct(), "entity").groupBy("entity").agg(F.count_distinct("doc_id").alias("with_entity"))
     words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))), lambda w: F.xxhash64(w))
     counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("with_word"))
