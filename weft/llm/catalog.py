@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.llm import bpe, minhash, pii, quality_rules, url_filter
+from weft.llm import bpe, minhash, pii, quality_rules, toxicity, url_filter
+from weft.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +66,14 @@ URL_RULES = [
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's URL."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples; a third of the ids is held out."""
+    docs = table(spark, sf_dir, "documents")
+    remainder = fold("doc_id", 3)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder != 1)
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return scored.select("doc_id", (remainder == 1).alias("held_out"), "score", predicted.alias("predicted"), "evidence")

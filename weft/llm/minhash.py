@@ -5,8 +5,9 @@ largest one. Bands of values select candidates, full shingle sets confirm them.
 
 * Documents with equal sets become one node (its id: the smallest document id), so copies cost one row each.
 * Within a band's bucket every node is compared with one leader only (the smallest id), never all
-  with all. Links give components. Nodes of a bucket that are still in different components are compared
-  afterwards, except pairs that sizes or the triangle inequality of the Jaccard distance (both
+  with all. Links give components. Buckets that hold several components get another leader, drawn by a hash, so
+  that a group's buckets join it from many sides; a few such rounds. Nodes of a bucket that are then still in
+  different components are compared, except pairs that sizes or the triangle inequality of the Jaccard distance (both
   distances to the leader are known) rule out. So a bucket loses no link between different components.
 * A pair of similarity s shares no band with probability (1 - s**rows)**bands: 3e-6 at 0.8 with the
   defaults of 24 bands of 4 values.
@@ -34,6 +35,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 HASHES = 48
 BAND_ROWS = 4
+# Rounds with another leader in each bucket that holds several components.
+TURNS = 3
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -117,14 +120,18 @@ def _shared(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _compare(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Exact similarity of ``pairs`` (a, b): (a, b, similarity, linked is left to the caller)."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    chosen = _rows(docs).join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(shingle_sets(chosen, size), "sets")
+def _compare(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact counts for ``pairs`` (a, b): the shared shingles, both sizes and the size of the union."""
     set_a, set_b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     shared = _shared(pairs.join(set_a, "a").join(set_b, "b"))
-    return shared.withColumn("union", F.expr("n_a + n_b - shared"))
+    return materialize(shared.withColumn("union", F.expr("n_a + n_b - shared")), "compared")
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``members`` with their components, of buckets that hold several components."""
+    known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = known.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    return known.join(several.select("bucket"), "bucket")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -144,18 +151,36 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
         placed.join(leaders, "bucket").select("bucket", "id", "n", "size", F.col("leader.id").alias("leader"), F.col("leader.n").alias("n_leader")),
         "members",
     )
+    # A merge join whatever the size: texts move once, in proportion to the input.
+    chosen = _rows(docs).join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    sets = materialize(shingle_sets(chosen.dropDuplicates(["doc_id"]), size), "sets")
+
     fits = "100 * least({0}, {1}) >= {2} * greatest({0}, {1})".format
-    first = members.filter(f"id <> leader and {fits('n', 'n_leader', percent)}")
-    first = materialize(first.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    compared = materialize(_compare(docs, first, size), "compared")
     linked = f"100 * shared >= {percent} * union"
+    first = members.filter(f"id <> leader and {fits('n', 'n_leader', percent)}")
+    compared = _compare(sets, materialize(first.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs"))
     links = compared.filter(linked).select("a", "b")
     found = materialize(components(links), "components")
 
-    rest = materialize(_rest(members, compared, found, fits, percent), "rest")
+    wide = members.filter("size > 2")
+    for turn in range(TURNS):
+        # Another leader for each bucket that still holds several components.
+        mixed = _mixed(wide, found)
+        other = mixed.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("bucket", "id", F.lit(turn))).alias("lead"))
+        pairs = mixed.join(other, "bucket").filter(f"component <> lead.component and {fits('n', 'lead.n', percent)}")
+        pairs = materialize(pairs.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct(), "pairs")
+        pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        again = _compare(sets, pairs)
+        if again.isEmpty():
+            break
+        compared = compared.union(again)
+        links = links.union(again.filter(linked).select("a", "b"))
+        found = materialize(components(links), "components")
+
+    rest = materialize(_rest(wide, compared, found, fits, percent), "rest")
     if not rest.isEmpty():
-        more = _compare(docs, rest, size).filter(linked).select("a", "b")
-        found = materialize(components(links.union(more)), "components")
+        links = links.union(_compare(sets, rest).filter(linked).select("a", "b"))
+        found = materialize(components(links), "components")
 
     named = nodes.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     named = named.withColumn("has", F.lit(True))
@@ -171,13 +196,11 @@ def _rest(members: DataFrame, compared: DataFrame, found: DataFrame, fits, perce
     distance = compared.select(
         F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("shared") / F.col("union")).alias("distance")
     )
-    known = members.filter("size > 2 and id <> leader").join(found, "id", "left")
-    known = known.withColumn("component", F.coalesce("component", "id")).join(distance, ["id", "leader"], "left")
+    known = _mixed(members.filter("id <> leader"), found).join(distance, ["id", "leader"], "left")
     # Not compared with the leader because of the sizes: the distance is at least this.
     bound = F.lit(1.0) - F.least("n", "n_leader") / F.greatest("n", "n_leader")
     known = known.withColumn("low", F.coalesce("distance", bound)).withColumn("high", F.coalesce("distance", F.lit(1.0)))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
-    open_ = known.join(mixed.select("bucket"), "bucket").select("bucket", "id", "n", "component", "low", "high")
+    open_ = known.select("bucket", "id", "n", "component", "low", "high")
     a, b = open_.alias("a"), open_.alias("b")
     reach = 1 - percent / 100 + 1e-9
     pairs = a.join(
@@ -187,4 +210,5 @@ def _rest(members: DataFrame, compared: DataFrame, found: DataFrame, fits, perce
             f"and {fits('a.n', 'b.n', percent)} and a.low - b.high <= {reach} and b.low - a.high <= {reach}"
         ),
     )
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    asked = pairs.select(F.col("b.id").alias("a"), F.col("a.id").alias("b")).distinct()
+    return asked.join(compared.select("a", "b"), ["a", "b"], "left_anti")

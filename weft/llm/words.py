@@ -11,8 +11,10 @@ import pyarrow as pa
 # Documents are taken together up to so many bytes; a longer one is taken alone.
 CHUNK_BYTES = 1 << 20
 
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII other than letters and digits.
+PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -67,9 +69,9 @@ class Words:
     first: np.ndarray
 
 
-def find(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """Runs of bytes other than U+0020 and U+0009 to U+000D."""
-    inside = ~_SEPARATOR[data]
+def find(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = SPACE) -> Words:
+    """Runs of bytes that are no separators: U+0020 and U+0009 to U+000D, if not told otherwise."""
+    inside = ~separator[data]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
