@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, minhash, pii, quality_rules, toxicity, url_filter
+from weft.llm import bpe, minhash, pii, quality_mil, quality_rules, toxicity, url_filter
 from weft.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, model)
     predicted = (F.col("score") >= 0.7).cast("int")
     return scored.select("doc_id", (remainder == 1).alias("held_out"), "score", predicted.alias("predicted"), "evidence")
+
+
+@query
+def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by attention over its passages; a fifth of the ids is held out."""
+    docs = table(spark, sf_dir, "documents")
+    remainder = fold("doc_id", 5)
+    model = quality_mil.fit(docs, table(spark, sf_dir, "labels"), remainder != 0)
+    scored = quality_mil.score(docs, model)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", (remainder == 0).alias("held_out"), "score", predicted, "n_passages", "top_passage", "top_weight")

@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the words whose presence tells toxic from other examples: their likelihood ratio (G squared) must
-pass a limit that allows for the number of words tried. Examples become unit vectors of log term
+Terms are the words, and beginnings of words, whose presence tells toxic from other examples: their
+likelihood ratio (G squared) must pass a limit that allows for the number of terms tried. Examples become unit vectors of log term
 frequency times inverse document frequency; equal vectors are one entry with its counts of both labels. The
 entries lie in blocks of an inverted index that holds, for every term and block, the largest weight. A
 search takes blocks by their upper bound and ends when no block can reach the k-th best similarity, so it is exact;
@@ -38,14 +38,26 @@ ERROR_RATE = 0.05
 NEIGHBOURS = 25
 BLOCK = 64
 EVIDENCE = 3
+# Beginnings of words, of so many bytes, stand for their forms.
+STEMS = (4, 6, 7, 8)
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the lower-cased words of stretches of documents, and the first word of each document."""
+    """Hashes of the lower-cased words of stretches of documents and of the beginnings of longer ones, and where each document's start."""
     for _, _, data, bounds in words.byte_chunks(column):
         data = words.lower(data)
         found = words.find(data, bounds, words.PUNCTUATION)
-        yield words.hashes(data, found).view(np.int64), found.first
+        hashed, docs = [words.hashes(data, found)], [found.doc]
+        for size in STEMS:
+            longer = np.flatnonzero(found.end - found.start > size)
+            start = found.start[longer]
+            stems = words.Words(found.doc[longer], start, start + size, found.first)
+            hashed.append(words.mix(words.hashes(data, stems) + np.uint64(size)))
+            docs.append(stems.doc)
+        owner = np.concatenate(docs)
+        order = np.argsort(owner, kind="stable")
+        first = np.searchsorted(owner[order], np.arange(len(bounds)))
+        yield np.concatenate(hashed)[order].view(np.int64), first
 
 
 def term_sets(docs: DataFrame) -> DataFrame:
@@ -67,7 +79,7 @@ def choose_terms(sets: DataFrame, toxic: int, other: int) -> list[tuple[int, int
     counts = counts.agg(F.sum("label").alias("in_toxic"), F.count("*").alias("both")).filter(F.col("both") >= MIN_EXAMPLES)
     counts = materialize(counts, "terms")
     limit = 2 * math.log(max(counts.count(), 1) / ERROR_RATE)
-    total, part = toxic + other, F.col("both") / (toxic + other)
+    part = F.col("both") / (toxic + other)
 
     def cell(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -76,7 +88,7 @@ def choose_terms(sets: DataFrame, toxic: int, other: int) -> list[tuple[int, int
     gain = 2 * (
         cell(a, part * toxic) + cell(b, part * other) + cell(toxic - a, (1 - part) * toxic) + cell(other - b, (1 - part) * other)
     )
-    strong = counts.withColumn("gain", gain).filter((F.col("gain") >= limit) & (F.col("both") < total))
+    strong = counts.withColumn("gain", gain).filter((F.col("gain") >= limit) & (a > part * toxic))
     return [(r.term, r.both) for r in strong.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()]
 
 
