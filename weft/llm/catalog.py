@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, minhash, pii, quality_mil, quality_rules, toxicity, url_filter
+from weft.llm import bpe, minhash, pii, quality_mil, quality_rules, secrets, toxicity, url_filter
 from weft.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_mil.score(docs, model)
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
     return scored.select("doc_id", (remainder == 0).alias("held_out"), "score", predicted, "n_passages", "top_passage", "top_weight")
+
+
+@query
+def op7_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of credentials, by patterns and by learned formats."""
+    return secrets.report(table(spark, sf_dir, "documents"))
