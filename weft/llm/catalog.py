@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, minhash, pii, quality_mil, quality_rules, secrets, toxicity, url_filter
+from weft.llm import bpe, decontaminate, minhash, pii, quality_mil, quality_rules, secrets, toxicity, url_filter
 from weft.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of credentials, by patterns and by learned formats."""
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds, within the errors allowed."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
