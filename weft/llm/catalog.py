@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, decontaminate, minhash, pii, quality_mil, quality_rules, secrets, toxicity, url_filter
+from weft.llm import bpe, decontaminate, minhash, pii, quality_mil, quality_rules, secrets, substrings, toxicity, url_filter
 from weft.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op7_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document holds, within the errors allowed."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings of 50 bytes that an earlier one holds."""
+    return substrings.report(table(spark, sf_dir, "documents"))

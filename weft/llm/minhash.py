@@ -5,9 +5,9 @@ largest one. Bands of values select candidates, full shingle sets confirm them.
 
 * Documents with equal sets become one node (its id: the smallest document id), so copies cost one row each.
 * Within a band's bucket every node is compared with one leader only (the smallest id), never all
-  with all. Links give components. Buckets that hold several components get another leader, drawn by a hash, so
-  that a group's buckets join it from many sides; a few such rounds. Nodes of a bucket that are then still in
-  different components are compared, except pairs that sizes or the triangle inequality of the Jaccard distance (both
+  with all. Links give components. Buckets that hold several components get ``LEADERS`` others, drawn by
+  hashes, so that a group's buckets join it from many sides. Nodes of a bucket that are then still in different
+  components are compared, except pairs that sizes or the triangle inequality of the Jaccard distance (both
   distances to the leader are known) rule out. So a bucket loses no link between different components.
 * A pair of similarity s shares no band with probability (1 - s**rows)**bands: 3e-6 at 0.8 with the
   defaults of 24 bands of 4 values.
@@ -35,8 +35,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 HASHES = 48
 BAND_ROWS = 4
-# Rounds with another leader in each bucket that holds several components.
-TURNS = 3
+# Further leaders of a bucket that holds several components after the first.
+LEADERS = 3
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -162,20 +162,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     links = compared.filter(linked).select("a", "b")
     found = materialize(components(links), "components")
 
+    # Other leaders, drawn by hashes, for the buckets that still hold several components.
     wide = members.filter("size > 2")
-    for turn in range(TURNS):
-        # Another leader for each bucket that still holds several components.
-        mixed = _mixed(wide, found)
-        other = mixed.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("bucket", "id", F.lit(turn))).alias("lead"))
-        pairs = mixed.join(other, "bucket").filter(f"component <> lead.component and {fits('n', 'lead.n', percent)}")
-        pairs = materialize(pairs.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct(), "pairs")
-        pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        again = _compare(sets, pairs)
-        if again.isEmpty():
-            break
-        compared = compared.union(again)
-        links = links.union(again.filter(linked).select("a", "b"))
-        found = materialize(components(links), "components")
+    mixed = _mixed(wide, found)
+    drawn = [F.min_by(F.struct("id", "n", "component"), F.xxhash64("bucket", "id", F.lit(i))) for i in range(LEADERS)]
+    other = mixed.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("leads"))
+    pairs = mixed.join(other, "bucket").withColumn("lead", F.explode("leads"))
+    pairs = pairs.filter(f"component <> lead.component and {fits('n', 'lead.n', percent)}")
+    pairs = pairs.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct()
+    again = _compare(sets, materialize(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
+    compared = compared.union(again)
+    links = links.union(again.filter(linked).select("a", "b"))
+    found = materialize(components(links), "components")
 
     rest = materialize(_rest(wide, compared, found, fits, percent), "rest")
     if not rest.isEmpty():
