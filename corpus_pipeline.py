@@ -18,12 +18,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOXIC = 0.7
 
 
-def _keyed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id is in ``ids``; a null id is in it if it holds one."""
-    wanted = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(wanted, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled examples do not call them toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -33,10 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; repeated rows of it are one."""
-    judged = minhash.near_duplicates(docs)
-    kept = judged.filter("kept")
-    return _keyed(docs.dropDuplicates(), kept)
+    """One document of each group of near-duplicates, the one with the smallest id; repeated rows are one. Rows without an id stay."""
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.filter("doc_id is not null").join(kept, docs.doc_id == F.col("_id"), "left_semi").dropDuplicates()
+    return named.union(docs.filter("doc_id is null"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
