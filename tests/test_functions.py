@@ -108,3 +108,8 @@ def test_contract_fields():
     assert [len(s.fields) for s in (NODE, EDGE, METADATA, ERROR)] == [13, 9, 13, 7]
     assert "name" not in required_fields(NODE)
     assert "status" not in required_fields(METADATA)
+
+
+def test_is_json_beyond_16_mib(spark):
+    rows = spark.range(1).select(F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 20 << 20), F.lit('"}')).alias("t"))
+    assert rows.select(X.is_json(F.col("t")), X.is_json(F.concat("t", F.lit(" y")))).first() == (True, False)

@@ -40,7 +40,35 @@ def test_scan(spark, repo):
     assert sorted(contents) == KEPT
     assert contents["alpha.py"] == (6, b"a = 1\n") and contents["__init__.py"] == (0, b"")
     one = S.scan_files(spark, f"file://{repo}", "r", only="alpha.py").collect()
-    assert [r.file_path for r in one] == ["alpha.py"]
+    assert [(r.file_path, r.length) for r in one] == [("alpha.py", 6)]
+
+
+def test_links_to_folders_are_not_followed(spark, repo, tmp_path):
+    (tmp_path / "tests" / "repo" / "nested" / "back").symlink_to(repo)
+    assert names(S.list_sources(spark, repo, "r")) == KEPT
+
+
+def test_one_file_is_opened_by_its_path(spark, repo):
+    """No rule leaves out a file that is asked for by name; an absent one is an error event."""
+    assert names(S.scan_files(spark, repo, "r", only="pkg/tests/helper.py")) == ["pkg/tests/helper.py"]
+    errors = build(S.scan_files(spark, repo, "r", only="gone.py")).errors.collect()
+    assert [(r.repo_name, r.file_path, r.error_type) for r in errors] == [("r", "gone.py", "FileNotFoundError")]
+
+
+def test_listed_files(spark, repo):
+    listed = spark.createDataFrame([("alpha.py",), ("gone.py",)], "file string")
+    run = build(S.read_listed(spark, repo, "r", listed))
+    assert [r.file_path for r in run.metadata.collect()] == ["alpha.py"]
+    assert [(r.repo_name, r.file_path, r.error_type) for r in run.errors.collect()] == [("r", "gone.py", "FileNotFoundError")]
+    scan = S.files_of_manifest(S.scan_files(spark, repo, "r"), listed, "r")
+    assert [(r.repo_name, r.file_path, r.error_type) for r in build(scan).errors.collect()] == [("r", "gone.py", "FileNotFoundError")]
+
+
+def test_manifest_beyond_16_mib(spark, tmp_path):
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps({"repo_path": "r", "files": [f"folder/{'x' * 200}{i}.py" for i in range(95_000)]}))
+    assert path.stat().st_size > 19 << 20
+    assert S.read_manifest_object(spark, str(path)).count() == 95_000
 
 
 def test_scan_to_graph(spark, repo):
@@ -59,7 +87,7 @@ def test_manifest_round_trip(spark, repo, tmp_path):
     rows = S.read_manifest(spark, path).collect()
     assert {r.total_files for r in rows} == {len(KEPT)} and {r.repo_path for r in rows} == {repo}
     listed = S.read_manifest(spark, path).select("repo_path", "file")
-    again = S.files_of_manifest(S.scan_files(spark, repo, "r"), listed)
+    again = S.files_of_manifest(S.scan_files(spark, repo, "r"), listed, "r")
     assert again.where("content IS NOT NULL").count() == len(KEPT)
 
 

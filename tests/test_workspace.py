@@ -2,6 +2,8 @@ import pytest
 
 from golden import BASELINE, MODIFIED
 from weft.__main__ import main
+from weft.sources.files import scan_files
+from weft.workspace import ReplayError, Workspace
 
 
 @pytest.fixture
@@ -49,3 +51,20 @@ def test_life_of_a_repository(spark, place, tmp_path, capsys):
     assert main(["ingest", "--workspace", ws]) == 0
     assert main(["verify-metadata", "--workspace", ws]) == 0
     assert "|3        |" in capsys.readouterr().out
+
+
+def test_failed_replay_changes_nothing(spark, place):
+    """A broken or absent file is an error, and the stored graph stays."""
+    root, path = place
+    stores = Workspace(spark, path)
+    stores.publish(scan_files(spark, str(root), "r"))
+    stores.ingest()
+    before = sorted(r.id for r in stores.graph.nodes.read().collect())
+    for name, content in (("src/probe.py", b"def ("), ("gone.py", None)):
+        if content is not None:
+            (root / name).write_bytes(content)
+        with pytest.raises(ReplayError):
+            stores.replay(scan_files(spark, str(root), "r", only=name), "r", name)
+        stores.ingest()
+        assert sorted(r.id for r in stores.graph.nodes.read().collect()) == before
+    assert main(["replay", "--root", str(root), "--repo", "r", "--file", "gone.py", "--workspace", path]) == 3

@@ -14,15 +14,27 @@ from weft.operators.graph import edge_sample, one_file_counts
 from weft.operators.rollup import GRAPH_SAMPLE, duplicate_documents, duplicate_groups, run_summary
 from weft.plans import reports
 from weft.plans.build import build
-from weft.sources.files import list_sources, scan_files, write_manifest
-from weft.workspace import Workspace
+from weft.sources.files import list_sources, read_listed, read_manifest, scan_files, write_manifest
+from weft.workspace import ReplayError, Workspace
 
 
 def _show(df: DataFrame, rows: int = 40) -> None:
+    """A table of a few rows, or the beginning of one; what must be whole goes through ``_show_all``."""
     df.show(rows, truncate=False)
 
 
+def _show_all(df: DataFrame) -> None:
+    """Every row as a line, a partition at a time."""
+    for row in df.toLocalIterator():
+        print(" ".join(f"{k}={'' if v is None else v}" for k, v in row.asDict().items()))
+
+
 def _scan(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    if getattr(args, "manifest", None):
+        listed = read_manifest(spark, args.manifest).select("file")
+        if args.file:
+            listed = listed.where(F.col("file") == args.file)
+        return read_listed(spark, args.root, args.repo, listed)
     return scan_files(spark, args.root, args.repo, args.include_excluded, only=args.file)
 
 
@@ -37,11 +49,12 @@ def discover(spark: SparkSession, args: argparse.Namespace) -> int:
 def parse(spark: SparkSession, args: argparse.Namespace) -> int:
     files = _scan(spark, args)
     run = build(files) if args.dry_run else Workspace(spark, args.workspace).publish(files)
-    _show(run.report().orderBy("file_path"))
+    _show_all(run.report().orderBy("file_path"))
+    _show_all(run.errors.select("file_path", "error_type", "error_message").orderBy("file_path"))
     ok = run.metadata.selectExpr("true AS ok").unionByName(run.errors.selectExpr("false AS ok"))
     summary = run_summary(ok).first()
     print(f"Finished: successful={summary.successful} failed={summary.failed}")
-    return 0
+    return 3 if args.file and not summary.successful else 0
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -68,7 +81,7 @@ def verify_metadata(spark: SparkSession, args: argparse.Namespace) -> int:
     metadata = Workspace(spark, args.workspace).metadata.read()
     health = reports.metadata_health(metadata)
     _show(health)
-    _show(duplicate_documents(metadata))
+    _show_all(duplicate_documents(metadata))
     if args.file:
         _show(display(find_metadata(metadata, args.repo, args.file)))
     return 0 if health.first().passed else 1
@@ -92,7 +105,11 @@ def replay(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.dry_run:
         return parse(spark, args)
     stores = Workspace(spark, args.workspace)
-    summary = stores.replay(_scan(spark, args), args.repo, args.file, replace=not args.keep_graph)
+    try:
+        summary = stores.replay(_scan(spark, args), args.repo, args.file, replace=not args.keep_graph)
+    except ReplayError as failure:
+        print(failure)
+        return 3
     if args.output:
         reports.write_evidence(summary, args.output)
     _show(reports.evidence_lines(summary).orderBy("position").select("line"))
@@ -102,16 +119,38 @@ def replay(spark: SparkSession, args: argparse.Namespace) -> int:
 def resume_check(spark: SparkSession, args: argparse.Namespace) -> int:
     """Documents and checkpoint files before and after another run of the jobs."""
     stores = Workspace(spark, args.workspace)
+    checkpoint = stores.metadata.checkpoint
+    artifacts_before = reports.checkpoint_artifacts(spark, checkpoint).count()
     before = stores.metadata.read().count()
     time.sleep(args.seconds)
     stores.ingest()
     after = stores.metadata.read().count()
-    artifacts = reports.checkpoint_artifacts(spark, stores.metadata.checkpoint).count()
+    artifacts = reports.checkpoint_artifacts(spark, checkpoint).count()
     verdict = reports.resume_verdict(before, after, artifacts)
-    print(f"metadata_count_before={before}\nmetadata_count_after={after}\n{verdict}")
+    lines = [
+        f"checkpoint_location={checkpoint}",
+        f"checkpoint_exists={artifacts > 0}",
+        f"checkpoint_artifacts_before={artifacts_before}",
+        f"checkpoint_artifacts_after={artifacts}",
+        f"metadata_count_before={before}",
+        f"metadata_count_after={after}",
+        verdict,
+    ]
+    print("\n".join(lines))
+    if args.output:
+        rows = spark.createDataFrame(list(enumerate(lines)), "position int, line string").coalesce(1)
+        rows.sortWithinPartitions("position").select("line").write.mode("overwrite").text(args.output)
     return 0 if "PASSED" in verdict else 1
 
 
+def compact(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Merge the batches of every table into a new base."""
+    stores = Workspace(spark, args.workspace)
+    for table in (stores.metadata, stores.graph.nodes, stores.graph.edges, stores.graph.files, stores.graph.repositories):
+        table.compact()
+    return 0
+
+
 def reset(spark: SparkSession, args: argparse.Namespace) -> int:
     Workspace(spark, args.workspace).metadata.reset()
     print("Metadata table is empty; the graph was not changed.")
@@ -120,14 +159,15 @@ def reset(spark: SparkSession, args: argparse.Namespace) -> int:
 
 _COMMANDS = {
     "discover": (discover, "root repo output include_excluded"),
-    "parse": (parse, "workspace root repo file? include_excluded dry_run"),
+    "parse": (parse, "workspace? root repo file? manifest? include_excluded dry_run"),
     "ingest": (ingest, "workspace"),
     "verify-graph": (verify_graph, "workspace repo? file?"),
     "verify-metadata": (verify_metadata, "workspace repo? file?"),
     "stats": (stats, "workspace"),
     "cleanup": (cleanup, "workspace repo file"),
     "replay": (replay, "workspace root repo file include_excluded dry_run keep_graph output?"),
-    "resume-check": (resume_check, "workspace seconds"),
+    "resume-check": (resume_check, "workspace seconds output?"),
+    "compact": (compact, "workspace"),
     "reset": (reset, "workspace"),
 }
 _FLAGS = ("include_excluded", "dry_run", "keep_graph")

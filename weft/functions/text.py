@@ -100,8 +100,9 @@ def is_json(text: Column) -> Column:
     """Whether the whole text is one valid JSON value.
 
     Spark's parser stops after the first value and ignores what follows. Inside brackets and
-    inside a field the rest of the text has to fit too.
+    inside a field the rest of the text has to fit too. Texts of any length are judged alike.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    valued = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.coalesce(listed.isNotNull() & valued.isNotNull(), F.lit(False))
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    schema, broken = "v string, _broken string", {"columnNameOfCorruptRecord": "_broken"}
+    valued = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), schema, broken)
+    return F.coalesce(listed.isNotNull() & valued["_broken"].isNull(), F.lit(False))

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs that keep the stores current (SS-1 to SS-8, SNK-3 to SNK-7).
+"""Stream jobs that keep the stores current (SS-1 to SS-8, SNK-3 to SNK-7).
 
 Each job is project, filter and ``foreachBatch`` with a keyed write. The checkpoint owns the
 offsets; a batch that is retried overwrites its own folder, so at-least-once delivery gives
@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
 
 from weft.operators.contract import (
     backfill_metadata_id,
@@ -94,14 +93,14 @@ def start(
     apply: Callable[[DataFrame, int], None],
     checkpoint: str,
     available_now: bool = False,
-) -> StreamingQuery:
+):
     """Start a ``foreachBatch`` query in append mode with the default trigger (SS-2)."""
     writer = rows.writeStream.foreachBatch(apply).outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def start_metadata(log: DataFrame, table: KeyedTable, available_now: bool = False) -> StreamingQuery:
+def start_metadata(log: DataFrame, table: KeyedTable, available_now: bool = False):
     """The metadata job (SS-1)."""
     return start(metadata_events(log), upsert_metadata(table), table.checkpoint, available_now)
 
@@ -166,7 +165,7 @@ class GraphStore:
 
 def start_graph(
     node_log: DataFrame, edge_log: DataFrame, store: GraphStore, available_now: bool = False
-) -> tuple[StreamingQuery, StreamingQuery]:
+):
     """The two graph jobs (SS-8)."""
     nodes = start(node_log, store.apply_nodes, f"{store.path}/checkpoints/nodes", available_now)
     edges = start(edge_log, store.apply_edges, f"{store.path}/checkpoints/edges", available_now)

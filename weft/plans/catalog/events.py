@@ -25,7 +25,7 @@ from weft.plans.catalog import query
 from weft.schemas import METADATA, METADATA_TOPIC
 from weft.sources.eventlog import event_json, sample_events, to_records
 from weft.sources.files import manifest
-from weft.streaming.jobs import LOG_ORDER, metadata_events
+from weft.jobs.stream_jobs import LOG_ORDER, metadata_events
 
 _LOG = f"WITH {METADATA_LOG_SQL}"
 _FIELDS = ", ".join(METADATA.fieldNames())

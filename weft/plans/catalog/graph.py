@@ -53,13 +53,13 @@ _GRAPH = f"{_WITH}, {_EDGES}"
 
 
 def _call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stored nodes of everything but functions, and stored call and definition edges.
+    """Stored nodes of everything but functions, and all stored edges.
 
     The functions are the ends that stay unresolved. Reports read both tables several times,
     so both are written once.
     """
     tokens = materialize(token_nodes(spark, sf_dir), "tokens")
-    edges = _store_edges(E.call_edges(tokens).unionByName(E.definition_edges(tokens)))
+    edges = _store_edges(E.typed_edges(tokens))
     return _store_nodes(tokens.where("node_type <> 'FunctionDef'")), materialize(edges, "edges")
 
 
@@ -82,7 +82,7 @@ graph_nodes AS (
 graph_edges AS (
   SELECT sha256(concat_ws(chr(31), repo_name, file_path, edge_type, source_id, target_id)) AS id,
          source_id, target_id, edge_type AS type, repo_name, file_path
-  FROM ({_CALL} UNION ALL {_DFG})),
+  FROM ({_AST} UNION ALL {_CFG} UNION ALL {_DFG} UNION ALL {_CALL})),
 ends AS (
   SELECT source_id AS id FROM graph_edges UNION SELECT target_id FROM graph_edges)"""
 
@@ -251,30 +251,42 @@ def jn5(spark, sf_dir):
     return G.one_file_counts(*_call_graph(spark, sf_dir), "src1", "doc/1")
 
 
+_TWICE = "SELECT node_id FROM nodes UNION ALL SELECT node_id FROM nodes WHERE node_type = 'Call'"
+
+
+def _calls_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with a fault: every call is there twice."""
+    nodes = token_nodes(spark, sf_dir).select("node_id", "node_type")
+    return nodes.unionAll(nodes.where("node_type = 'Call'"))
+
+
 @query(
     "ag4_duplicate_node_ids",
-    f"{_WITH} SELECT count(*) AS duplicate_names FROM (SELECT name FROM nodes GROUP BY name HAVING count(*) > 1 AND name IS NOT NULL)",
+    f"{_WITH} SELECT count(*) AS duplicate_node_ids FROM (SELECT node_id FROM ({_TWICE}) GROUP BY 1 HAVING count(*) > 1)",
 )
 def ag4(spark, sf_dir):
-    return R.duplicate_summary(token_nodes(spark, sf_dir), ["name"], "duplicate_names")
+    return R.duplicate_summary(_calls_twice(spark, sf_dir), ["node_id"], "duplicate_node_ids")
 
 
 @query(
     "ag4_duplicate_node_listing",
-    f"{_WITH} SELECT name, count(*) AS count FROM nodes WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY name LIMIT 20",
+    f"{_WITH} SELECT node_id, count(*) AS count FROM ({_TWICE}) GROUP BY 1 HAVING count(*) > 1 ORDER BY node_id LIMIT 20",
 )
 def ag4_listing(spark, sf_dir):
-    groups = R.duplicate_groups(token_nodes(spark, sf_dir), ["name"])
-    return groups.orderBy("name").limit(R.GRAPH_SAMPLE)
+    groups = R.duplicate_groups(_calls_twice(spark, sf_dir), ["node_id"])
+    return groups.orderBy("node_id").limit(R.GRAPH_SAMPLE)
 
 
 @query(
     "ag5_duplicate_edge_ids",
-    f"{_CALL_GRAPH} SELECT count(*) AS duplicate_targets FROM (SELECT target_id FROM graph_edges GROUP BY 1 HAVING count(*) > 1)",
+    f"""{_CALL_GRAPH} SELECT count(*) AS duplicate_edge_ids FROM (SELECT id FROM (
+      SELECT id FROM graph_edges UNION ALL SELECT id FROM graph_edges WHERE type = 'CALL') GROUP BY 1 HAVING count(*) > 1)""",
 )
 def ag5(spark, sf_dir):
+    """All edges, with a fault: every call edge is there twice."""
     _, edges = _call_graph(spark, sf_dir)
-    return R.duplicate_summary(edges, ["target_id"], "duplicate_targets")
+    ids = edges.select("id", "type")
+    return R.duplicate_summary(ids.unionAll(ids.where("type = 'CALL'")), ["id"], "duplicate_edge_ids")
 
 
 @query(
@@ -365,9 +377,15 @@ def sl2(spark, sf_dir):
     return R.top_files(token_nodes(spark, sf_dir))
 
 
-@query("sl4_sorted_edges", f"{_WITH} {_CALL} ORDER BY edge_type, source_id, target_id")
+@query(
+    "sl4_sorted_edges",
+    f"{_GRAPH} SELECT repo_name, file_path, edge_type, source_id, target_id FROM edges ORDER BY edge_type, source_id, target_id",
+)
 def sl4(spark, sf_dir):
-    return E.call_edges(token_nodes(spark, sf_dir)).orderBy("edge_type", "source_id", "target_id")
+    """The order of all typed edges, as a range-partitioned sort."""
+    edges = E.typed_edges(materialize(token_nodes(spark, sf_dir), "tokens"))
+    columns = ("repo_name", "file_path", "edge_type", "source_id", "target_id")
+    return edges.select(*columns).orderBy("edge_type", "source_id", "target_id")
 
 
 @query(

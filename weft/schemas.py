@@ -17,41 +17,82 @@ ERRORS_TOPIC = "cpg.errors.v1"
 EDGE_TYPES = ("AST", "CFG", "DFG", "CALL")
 
 
-_TYPES = {"s": T.StringType(), "i": T.IntegerType(), "b": T.BooleanType()}
+def _text(name: str, required: bool = True) -> T.StructField:
+    return T.StructField(name, T.StringType(), True, {"required": required})
 
 
-def _struct(text: str) -> T.StructType:
-    """A StructType from ``name:type`` words; a trailing ``?`` marks an optional field."""
-    fields = []
-    for word in text.split():
-        name, kind = word.split(":")
-        fields.append(T.StructField(name, _TYPES[kind[0]], True, {"required": not kind.endswith("?")}))
-    return T.StructType(fields)
+def _number(name: str) -> T.StructField:
+    return T.StructField(name, T.IntegerType(), True, {"required": True})
 
 
-_ENVELOPE = "schema_version:s event_time:s repo_name:s file_path:s "
+def _flag(name: str) -> T.StructField:
+    return T.StructField(name, T.BooleanType(), True, {"required": True})
 
-NODE = _struct(
-    _ENVELOPE + "file_hash:s node_id:s node_type:s name:s? structural_path:s "
-    "lineno:i col_offset:i end_lineno:i end_col_offset:i"
+
+# Fields of the events in order; those not required may be null.
+_ENVELOPE = [_text("schema_version"), _text("event_time"), _text("repo_name"), _text("file_path")]
+_PLACE = [_number("lineno"), _number("col_offset"), _number("end_lineno"), _number("end_col_offset")]
+
+NODE = T.StructType(
+    [
+        *_ENVELOPE,
+        _text("file_hash"),
+        _text("node_id"),
+        _text("node_type"),
+        _text("name", required=False),
+        _text("structural_path"),
+        *_PLACE,
+    ]
 )
-EDGE = _struct(_ENVELOPE + "file_hash:s edge_id:s edge_type:s source_id:s target_id:s")
-METADATA = _struct(
-    _ENVELOPE + "metadata_id:s file_hash:s line_count:i function_count:i class_count:i "
-    "import_count:i node_count:i edge_count:i status:s?"
+EDGE = T.StructType(
+    [*_ENVELOPE, _text("file_hash"), _text("edge_id"), _text("edge_type"), _text("source_id"), _text("target_id")]
 )
-ERROR = _struct(_ENVELOPE + "error_type:s error_message:s status:s?")
+METADATA = T.StructType(
+    [
+        *_ENVELOPE,
+        _text("metadata_id"),
+        _text("file_hash"),
+        _number("line_count"),
+        _number("function_count"),
+        _number("class_count"),
+        _number("import_count"),
+        _number("node_count"),
+        _number("edge_count"),
+        _text("status", required=False),
+    ]
+)
+ERROR = T.StructType([*_ENVELOPE, _text("error_type"), _text("error_message"), _text("status", required=False)])
 
 # Tables of the graph store.
-GRAPH_REPOSITORY = _struct("name:s")
-GRAPH_FILE = _struct("id:s repo_name:s path:s file_hash:s")
-GRAPH_NODE = _struct(
-    "id:s repo_name:s file_path:s file_hash:s type:s name:s? structural_path:s lineno:i "
-    "col_offset:i end_lineno:i end_col_offset:i schema_version:s updated_at:s placeholder:b"
+GRAPH_REPOSITORY = T.StructType([_text("name")])
+GRAPH_FILE = T.StructType([_text("id"), _text("repo_name"), _text("path"), _text("file_hash")])
+GRAPH_NODE = T.StructType(
+    [
+        _text("id"),
+        _text("repo_name"),
+        _text("file_path"),
+        _text("file_hash"),
+        _text("type"),
+        _text("name", required=False),
+        _text("structural_path"),
+        *_PLACE,
+        _text("schema_version"),
+        _text("updated_at"),
+        _flag("placeholder"),
+    ]
 )
-GRAPH_EDGE = _struct(
-    "id:s source_id:s target_id:s type:s repo_name:s file_path:s file_hash:s schema_version:s "
-    "updated_at:s"
+GRAPH_EDGE = T.StructType(
+    [
+        _text("id"),
+        _text("source_id"),
+        _text("target_id"),
+        _text("type"),
+        _text("repo_name"),
+        _text("file_path"),
+        _text("file_hash"),
+        _text("schema_version"),
+        _text("updated_at"),
+    ]
 )
 # Stored metadata: the event and its ingestion stamp.
 STORED_METADATA = T.StructType(

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.plans.build import Build, build
-from weft.plans.reports import file_state, replay_summary
+from weft.plans.reports import checkpoint_artifacts, file_state, replay_summary
 from weft.schemas import EDGES_TOPIC, METADATA_TOPIC, NODES_TOPIC
 from weft.session import materialize
 from weft.sources.eventlog import read_log, stream_log
-from weft.streaming.jobs import GraphStore, metadata_table, start_graph, start_metadata
+from weft.jobs.stream_jobs import GraphStore, metadata_table, start_graph, start_metadata
+
+
+class ReplayError(ValueError):
+    """The file of a replay has no graph to put in place of the stored one."""
 
 
 @dataclass
@@ -28,9 +32,12 @@ class Workspace:
     def publish(self, files: DataFrame) -> Build:
         """Parse files and append their events to the log."""
         run = build(files)
-        run.publish(self.log, self._next_offset())
+        self.append(run)
         return run
 
+    def append(self, run: Build) -> None:
+        run.publish(self.log, self._next_offset())
+
     def _next_offset(self) -> int:
         try:
             last = read_log(self.spark, self.log).agg(F.max("offset")).first()[0]
@@ -60,13 +67,27 @@ class Workspace:
     def replay(self, files: DataFrame, repo: str, file: str, replace: bool = True) -> DataFrame:
         """Parse one file again, replace its graph, and report the state before and after (VR-5).
 
-        The jobs are run to completion, so the report needs no waiting time.
+        Nothing is deleted or published before the file is read and parsed: a file that is absent or
+        broken is an error and leaves the stores as they are. The jobs are run to completion, so
+        the report needs no waiting time.
         """
+        run = build(files)
+        parsed = materialize(run.metadata, "replayed").select("repo_name", "file_path", "file_hash").take(2)
+        if [(r.repo_name, r.file_path) for r in parsed] != [(repo, file)]:
+            failed = run.errors.select("error_type", "error_message").first()
+            reason = f"{failed.error_type}: {failed.error_message}" if failed else "no such file in the scan"
+            raise ReplayError(f"{repo}:{file} cannot be replayed: {reason}")
         before = materialize(file_state(self.tables(), repo, file), "before")
         if replace:
             scope = self.spark.createDataFrame([(repo, file)], "repo_name string, file_path string")
             self.graph.delete_files(scope)
-        run = self.publish(files)
+        self.append(run)
         self.ingest()
-        new_hash = run.metadata.agg(F.max("file_hash")).first()[0]
-        return replay_summary(before, self.tables(), repo, file, F.lit(new_hash))
+        summary = replay_summary(before, self.tables(), repo, file, F.lit(parsed[0].file_hash))
+        checkpoint = self.metadata.checkpoint
+        return summary.select(
+            F.lit("the file's graph is deleted, then its events go through the log and the jobs").alias("protocol"),
+            "*",
+            F.lit(checkpoint).alias("checkpoint_location"),
+            F.lit(not checkpoint_artifacts(self.spark, checkpoint).isEmpty()).alias("checkpoint_exists"),
+        )
