@@ -102,7 +102,7 @@ def is_json(text: Column) -> Column:
     Spark's parser stops after the first value and ignores what follows. Inside brackets and
     inside a field the rest of the text has to fit too. Texts of any length are judged alike.
     """
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    schema, broken = "v string, _broken string", {"columnNameOfCorruptRecord": "_broken"}
-    valued = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), schema, broken)
+    options = {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": "_broken"}
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", options)
+    valued = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string, _broken string", options)
     return F.coalesce(listed.isNotNull() & valued["_broken"].isNull(), F.lit(False))
