@@ -4,11 +4,12 @@ Each hash function is evaluated once per shingle and gives two signature values,
 largest one. Bands of values select candidates, full shingle sets confirm them.
 
 * Documents with equal sets become one node (its id: the smallest document id), so copies cost one row each.
-* Within a band's bucket every node is compared with one leader only (the smallest id), never all
-  with all. Links give components. Buckets that hold several components get ``LEADERS`` others, drawn by
-  hashes, so that a group's buckets join it from many sides. Nodes of a bucket that are then still in different
-  components are compared, except pairs that sizes or the triangle inequality of the Jaccard distance (both
-  distances to the leader are known) rule out. So a bucket loses no link between different components.
+* A shingle that one node alone holds is shared with nobody. So the numbers of common shingles bound the similarity
+  of every pair from above, without its sets; pairs below the limit are never formed.
+* Within a band's bucket every node is compared with one leader only, the node with the largest share of common
+  shingles, never all with all. Links give components. Nodes of a bucket that are still in different
+  components are compared afterwards, except pairs that the bound or the triangle inequality of the Jaccard distance
+  (both distances to the leader are known) rule out. So a bucket loses no link between different components.
 * A pair of similarity s shares no band with probability (1 - s**rows)**bands: 3e-6 at 0.8 with the
   defaults of 24 bands of 4 values.
 
@@ -35,8 +36,6 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 HASHES = 48
 BAND_ROWS = 4
-# Further leaders of a bucket that holds several components after the first.
-LEADERS = 3
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -127,6 +126,23 @@ def _compare(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(shared.withColumn("union", F.expr("n_a + n_b - shared")), "compared")
 
 
+def _common(sets: DataFrame) -> DataFrame:
+    """(id, common): how many shingles of each node any other node of ``sets`` has too."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            found = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found))], ["id", "shingle"])
+
+    each = sets.mapInArrow(batches, "id bigint, shingle bigint")
+    single = each.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("id").alias("id")).filter("nodes = 1")
+    single = single.groupBy("id").agg(F.count("*").alias("single"))
+    sized = sets.select(F.col("doc_id").alias("id"), (F.length("shingles") / 8).cast("bigint").alias("n_"))
+    common = sized.join(single, "id", "left").select("id", (F.col("n_") - F.coalesce("single", F.lit(0))).alias("common"))
+    return materialize(common, "common")
+
+
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of ``members`` with their components, of buckets that hold several components."""
     known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -144,38 +160,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
         "nodes",
     )
     placed = nodes.select("id", "n", F.explode("bands").alias("bucket"))
-    leaders = (
-        placed.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    )
-    members = materialize(
-        placed.join(leaders, "bucket").select("bucket", "id", "n", "size", F.col("leader.id").alias("leader"), F.col("leader.n").alias("n_leader")),
-        "members",
-    )
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialize(placed.join(sizes, "bucket"), "placed")
     # A merge join whatever the size: texts move once, in proportion to the input.
-    chosen = _rows(docs).join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    chosen = _rows(docs).join(shared.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     sets = materialize(shingle_sets(chosen.dropDuplicates(["doc_id"]), size), "sets")
+    members = shared.join(_common(sets), "id")
+    # The leader is the node with the largest share of common shingles: in a group of edited copies, the text they come from.
+    leaders = members.groupBy("bucket").agg(F.max_by(F.struct("id", "n", "common"), F.struct(F.col("common") / F.col("n"), -F.col("id"))).alias("lead"))
+    members = members.join(leaders, "bucket").select(
+        "bucket", "id", "n", "common", "size", *(F.col(f"lead.{c}").alias(f"{c}_lead") for c in ("id", "n", "common"))
+    )
+    members = materialize(members.withColumnRenamed("id_lead", "leader"), "members")
+
+    def fits(a: str, b: str) -> str:
+        """Whether the common shingles allow a link: at most the smaller number is shared."""
+        most = f"least({a.format('common')}, {b.format('common')})"
+        return f"100 * {most} >= {percent} * ({a.format('n')} + {b.format('n')} - {most})"
 
-    fits = "100 * least({0}, {1}) >= {2} * greatest({0}, {1})".format
     linked = f"100 * shared >= {percent} * union"
-    first = members.filter(f"id <> leader and {fits('n', 'n_leader', percent)}")
-    compared = _compare(sets, materialize(first.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs"))
+    first = members.filter(f"id <> leader and {fits('{}', '{}_lead')}")
+    pairs = first.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+    compared = _compare(sets, materialize(pairs, "pairs"))
     links = compared.filter(linked).select("a", "b")
     found = materialize(components(links), "components")
 
-    # Other leaders, drawn by hashes, for the buckets that still hold several components.
-    wide = members.filter("size > 2")
-    mixed = _mixed(wide, found)
-    drawn = [F.min_by(F.struct("id", "n", "component"), F.xxhash64("bucket", "id", F.lit(i))) for i in range(LEADERS)]
-    other = mixed.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("leads"))
-    pairs = mixed.join(other, "bucket").withColumn("lead", F.explode("leads"))
-    pairs = pairs.filter(f"component <> lead.component and {fits('n', 'lead.n', percent)}")
-    pairs = pairs.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct()
-    again = _compare(sets, materialize(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
-    compared = compared.union(again)
-    links = links.union(again.filter(linked).select("a", "b"))
-    found = materialize(components(links), "components")
-
-    rest = materialize(_rest(wide, compared, found, fits, percent), "rest")
+    rest = materialize(_rest(members.filter("size > 2"), compared, found, fits, percent), "rest")
     if not rest.isEmpty():
         links = links.union(_compare(sets, rest).filter(linked).select("a", "b"))
         found = materialize(components(links), "components")
@@ -191,21 +201,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
 
 def _rest(members: DataFrame, compared: DataFrame, found: DataFrame, fits, percent: int) -> DataFrame:
     """Pairs (a, b) of buckets whose nodes lie in several components that may still be links."""
-    distance = compared.select(
-        F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("shared") / F.col("union")).alias("distance")
-    )
-    known = _mixed(members.filter("id <> leader"), found).join(distance, ["id", "leader"], "left")
+    distance = (1 - F.col("shared") / F.col("union")).alias("distance")
+    ends = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), distance).union(compared.select("b", "a", distance))
+    known = _mixed(members.filter("id <> leader"), found).join(ends, ["id", "leader"], "left")
     # Not compared with the leader because of the sizes: the distance is at least this.
-    bound = F.lit(1.0) - F.least("n", "n_leader") / F.greatest("n", "n_leader")
+    bound = F.lit(1.0) - F.least("n", "n_lead") / F.greatest("n", "n_lead")
     known = known.withColumn("low", F.coalesce("distance", bound)).withColumn("high", F.coalesce("distance", F.lit(1.0)))
-    open_ = known.select("bucket", "id", "n", "component", "low", "high")
+    open_ = known.select("bucket", "id", "n", "common", "component", "low", "high")
     a, b = open_.alias("a"), open_.alias("b")
     reach = 1 - percent / 100 + 1e-9
     pairs = a.join(
         b,
         F.expr(
             "a.bucket = b.bucket and a.id < b.id and a.component <> b.component "
-            f"and {fits('a.n', 'b.n', percent)} and a.low - b.high <= {reach} and b.low - a.high <= {reach}"
+            f"and {fits('a.{}', 'b.{}')} and a.low - b.high <= {reach} and b.low - a.high <= {reach}"
         ),
     )
     asked = pairs.select(F.col("b.id").alias("a"), F.col("a.id").alias("b")).distinct()
