@@ -10,7 +10,7 @@ from weft.plans import reports as V
 from weft.plans.build import build
 from weft.schemas import EDGES_TOPIC, LOG_ENVELOPE, METADATA, METADATA_TOPIC, NODES_TOPIC
 from weft.sources.eventlog import read_log, stream_log
-from weft.jobs import jobs as J
+from weft.jobs import stream_jobs as J
 
 
 def event(file, **changes):
