@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -62,6 +63,32 @@ def test_learning_trusts_rules_by_their_agreement():
     assert trust[0] == trust[1] > 1.3 * trust[2] > 1.3
 
 
+def quality(learned, pattern):
+    """The posterior of a good document by Bayes' rule over all classes."""
+    share, chance = learned
+    good = share * math.prod(chance[r][1][v] for r, v in enumerate(pattern))
+    bad = (1 - share - sum(c[2][0] for c in chance)) * math.prod(chance[r][0][v] for r, v in enumerate(pattern))
+    own = sum(good * chance[r][2][0] / (share * chance[r][1][0]) for r, v in enumerate(pattern) if v == 0)
+    return good / (good + bad + own)
+
+
+def test_a_random_rule_does_not_drop_what_all_others_pass():
+    # Rules 0 and 1 agree on a tenth; rule 2 says "bad" of a third, at random. Verdicts do not depend on the size of the table.
+    for times in (1, 100):
+        counts = [((1, 1, 1), 600 * times), ((1, 1, 0), 300 * times), ((0, 0, 1), 66 * times), ((0, 0, 0), 34 * times)]
+        learned = quality_rules.learn(counts, 3)
+        assert min(quality(learned, (1, 1, 1)), quality(learned, (1, 1, 0))) > quality_rules.KEEP
+        assert max(quality(learned, (0, 0, 1)), quality(learned, (0, 0, 0))) < 0.1
+    alone = [quality(quality_rules.learn([((1,) * 7, 1000 - n), ((0,) + (1,) * 6, n)], 7), (0,) + (1,) * 6) for n in (80, 330, 500, 999)]
+    assert alone[0] < quality_rules.KEEP < min(alone[1:])
+
+
+def test_priors_wash_out():
+    counts = [((1, 1, 1, 1), 4000), ((0, 0, 0, 1), 3000), ((0, 0, 1, 1), 3000)]
+    small, large = (quality_rules.learn([(p, n * times // 100) for p, n in counts], 4) for times in (1, 10000))
+    assert abs(large[0] - 0.4) < 0.001 < abs(small[0] - 0.4) and abs(large[1][2][0][0] - 0.5) < 0.001
+
+
 def test_verdicts_follow_the_labels(spark):
     judged = quality_rules.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("doc_id", "id")

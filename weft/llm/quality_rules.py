@@ -2,9 +2,8 @@
 
 Everything per document is a column expression. The votes' patterns are counted over all documents; at most
 3 to the number of rules exist, so the counts fit on the driver, where expectation-maximisation
-estimates how often each rule votes "good", "bad" or not at all for good and for bad documents. The
-posterior probability of a good document then is a sum of logarithms per row. "Bad" votes add up; "good"
-votes overlap in what they see, so together they weigh as their mean.
+estimates how often each rule votes "good", "bad" or not at all for good and for bad documents, and how many
+documents have a fault that one rule alone sees. The posterior probability of a good document then is a sum per row.
 
 Defined results: null text counts as empty; texts without words fail the base rules; an empty table gives no rows;
 repeated rows are judged alike; other columns are ignored.
@@ -24,8 +23,10 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 KEEP = 0.5
 #: Chances that a good and that a bad document fails a rule that votes, and share of good documents, as they are
-#: expected; the first and the last weigh ``PRIOR`` times as much as the table, the second as much.
-FALSE_ALARM, HIT, SHARE, PRIOR = 0.01, 0.5, 0.8, 5.0
+#: expected; each weighs as much as ``PRIOR`` rows, whatever the table holds.
+FALSE_ALARM, HIT, SHARE, PRIOR = 0.01, 0.5, 0.8, 10.0
+#: Largest share of documents that are believed to have a fault that one rule alone sees.
+LONE = (1 - SHARE) * HIT
 ROUNDS = 60
 GOOD, BAD, NONE = 1, 0, 2
 
@@ -105,36 +106,59 @@ def votes() -> dict[str, Column]:
 
 def _weights(chance: list[list[float]]) -> list[float]:
     """Log-odds of a good document by vote; not voting says nothing."""
-    bad, good = chance
+    bad, good, _ = chance
     return [math.log(good[BAD] / bad[BAD]), math.log(good[GOOD] / bad[GOOD]), 0.0]
 
 
+def _lone(share: float, chance: list[list[float]]) -> float:
+    """Odds that a rule's "bad" vote on an otherwise good document is a fault that only this rule sees."""
+    return chance[2][0] / (share * chance[1][BAD])
+
+
 def learn(counts: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = ROUNDS) -> tuple[float, list[list[list[float]]]]:
-    """(share of good documents, for each rule and class the chance of each vote) from counted vote patterns.
+    """(share of good documents, for each rule the chances of its votes for bad and for good documents and, as a third list, the
+    share of documents with a fault that it alone sees) from counted vote patterns.
 
-    Begins with documents that any rule calls bad as mostly bad. Chances have priors; without
-    them, a fault that a single rule sees would soon count as normal.
+    Documents are good, bad as several rules see it, or good but for a fault of one rule. Votes cannot tell the last from false
+    alarms, so the expectations that EM begins with and ``LONE`` decide between these two; all else follows the counts.
     """
-    total = sum(n for _, n in counts)
-    good = {pattern: 0.1 if BAD in pattern else 0.95 for pattern, _ in counts}
-    share, chance = SHARE, [[[HIT, 1 - HIT, 0.0], [FALSE_ALARM, 1 - FALSE_ALARM, 0.0]] for _ in range(rules)]
-    for _ in range(rounds if total else 0):
-        share = (SHARE * PRIOR * total + sum(n * good[p] for p, n in counts)) / (PRIOR * total + total)
+    share, common = SHARE, 1 - SHARE - LONE
+    chance = [[[HIT, 1 - HIT, 0.0], [FALSE_ALARM, 1 - FALSE_ALARM, 0.0], [LONE]] for _ in range(rules)]
+    for _ in range(rounds):
+        goods, bads = SHARE * PRIOR, (1 - SHARE - LONE) * PRIOR
+        lone = [0.0] * rules
+        mass = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(rules)]
+        voted = [0] * rules
+        weights, odds = [_weights(c) for c in chance], [_lone(share, c) for c in chance]
+        for p, n in counts:
+            fit = math.log(common / share) - sum(weights[r][v] for r, v in enumerate(p))
+            parts = [math.exp(min(500.0, fit)), *(odds[r] if v == BAD else 0.0 for r, v in enumerate(p))]
+            bad, *own = (n * x / (1 + sum(parts)) for x in parts)
+            goods, bads = goods + n - bad - sum(own), bads + bad
+            for r, v in enumerate(p):
+                if v != NONE:
+                    voted[r] += n
+                    lone[r] += own[r]
+                    mass[r][0][v] += bad
+                    mass[r][1][v] += n - bad - own[r]
+        for r in range(rules):
+            # What a rule sees alone beyond ``LONE`` is false alarms.
+            excess = max(0.0, lone[r] - LONE * voted[r])
+            lone[r] += LONE * PRIOR / rules - excess
+            goods += excess
+            mass[r][1][BAD] += excess
+            bad, fine = mass[r]
+            # A "bad" vote never speaks for a document.
+            if fine[BAD] * sum(bad) > bad[BAD] * sum(fine):
+                both = [(a + b) / (sum(bad) + sum(fine)) for a, b in zip(bad, fine)]
+                bad, fine = ([sum(m) * x for x in both] for m in (bad, fine))
+            for y, (m, expected) in enumerate(((bad, HIT), (fine, FALSE_ALARM))):
+                rate = (m[BAD] + expected * PRIOR) / (sum(m) + PRIOR)
+                chance[r][y] = [rate, 1 - rate, 0.0]
+        every = goods + bads + sum(lone)
+        share, common = goods / every, bads / every
         for r in range(rules):
-            voted = max(1, sum(n for p, n in counts if p[r] != NONE))
-            for y in (0, 1):
-                mass = [FALSE_ALARM * PRIOR * voted, (1 - FALSE_ALARM) * PRIOR * voted, 0.0] if y else [HIT * voted, (1 - HIT) * voted, 0.0]
-                for p, n in counts:
-                    if p[r] != NONE:
-                        mass[p[r]] += n * (good[p] if y else 1 - good[p])
-                chance[r][y] = [m / sum(mass) for m in mass]
-            if chance[r][1][BAD] > chance[r][0][BAD]:
-                chance[r] = [[(a + b) / 2 for a, b in zip(*chance[r])]] * 2
-        weights = [_weights(c) for c in chance]
-        for p, _ in counts:
-            bad, fine = (sum(weights[r][v] for r, v in enumerate(p) if v == kind) for kind in (BAD, GOOD))
-            logit = math.log(share / (1 - share)) + bad + fine / max(1, p.count(GOOD))
-            good[p] = 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
+            chance[r][2] = [lone[r] / every]
     return share, chance
 
 
@@ -144,12 +168,11 @@ def judge(docs: DataFrame) -> DataFrame:
     voted = materialize(features(docs).withColumns(rules), "votes")
     counted = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*rules).count().collect()]
     share, chance = learn(sorted(counted), len(rules))
-    weights = {name: _weights(c) for name, c in zip(rules, chance)}
-
-    def total(kind: int) -> Column:
-        return sum((F.when(F.col(name) == kind, w[kind]).otherwise(0.0) for name, w in weights.items()), F.lit(0.0))
-
-    fine = sum((F.when(F.col(name) == GOOD, 1).otherwise(0) for name in rules), F.lit(0))
-    logit = F.lit(math.log(share / (1 - share))) + total(BAD) + total(GOOD) / F.greatest(fine, F.lit(1))
-    scored = voted.withColumn("quality", 1 / (1 + F.exp(-logit))).withColumn("base_failed", base_failed())
+    common = 1 - share - sum(c[2][0] for c in chance)
+    fit, own = F.lit(math.log(common / share)), F.lit(0.0)
+    for name, c in zip(rules, chance):
+        weights = _weights(c)
+        fit -= F.when(F.col(name) == BAD, weights[BAD]).when(F.col(name) == GOOD, weights[GOOD]).otherwise(0.0)
+        own += F.when(F.col(name) == BAD, _lone(share, c)).otherwise(0.0)
+    scored = voted.withColumn("quality", 1 / (1 + F.exp(fit) + own)).withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
