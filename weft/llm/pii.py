@@ -1,11 +1,10 @@
 """Personal data by patterns, and information-theoretic sanitisation of the words that give it away.
 
-Patterns find protected entities (e-mail, ip, card and phone numbers). A word that stands next to an
+Patterns find protected entities (e-mail, ip, card and phone numbers). A word that occurs in the documents of an
 entity reveals it as far as seeing the word makes the entity likelier: with document counts over
-the whole corpus, P(entity | word) = c(word, entity) / c(word), and the disclosure in bits is
-log2(P(entity | word) / P(entity)). Where both reach their limits, and enough different contexts
-support it, the word near the entity becomes a ``term`` span. ``sanitise`` generalises entities to
-their kind and removes terms.
+the whole corpus, P(entity | word) = c(word, entity) / c(word), smoothed, and the disclosure in bits is
+log2(P(entity | word) / P(entity)). Where both reach their limits, the word becomes a ``term`` span at all its places in
+all documents. ``sanitise`` generalises entities to their kind and removes terms.
 
 Everything is a column expression or an aggregate. Positions come from the lengths of what a pattern
 matches and of what lies between (code points, end exclusive). The patterns are written so that no run of characters is
@@ -35,12 +34,13 @@ PATTERNS = {
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Characters on each side of an entity that tell its different contexts from copies.
 NEAR_CHARS = 80
-NEAR_WORDS = 4
-#: Limits of a term: chance of the entity given the word, bits of disclosure, and different contexts.
+#: Limits of a term: chance of the entity given the word, and bits of disclosure. The chance is estimated with so many documents
+#: more that hold the word, and the entity as often as any.
 MIN_CHANCE = 0.5
 MIN_BITS = 6.0
-MIN_CONTEXTS = 3
+PRIOR = 2.0
 
 
 def _digits(hit: Column) -> Column:
@@ -120,96 +120,108 @@ def _spans(order: int, kind: str, text: Column) -> Column:
     return F.coalesce(F.when(_may(kind, text), found), F.array().cast(SPAN))
 
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base``: the spans of all kinds by start, then kind."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = [_spans(i, kind, t) for i, kind in enumerate(KINDS)]
-    return docs.withColumn("base", F.sort_array(F.concat(*found)))
+def _base(text: Column) -> Column:
+    """The spans of all kinds by start, then kind."""
+    return F.sort_array(F.concat(*(_spans(i, kind, text) for i, kind in enumerate(KINDS))))
 
 
-def _contexts(based: DataFrame) -> DataFrame:
-    """(entity, doc_id, context, word, start, end): the words near each span of ``base``."""
-    spans = based.select("doc_id", F.explode("base").alias("s"))
+def _masked(base: Column, text: Column) -> Column:
+    """``text`` with blanks in place of its spans: its words stand where they stood."""
 
-    def side(left: bool, origin: Column, text: Column) -> Column:
-        return F.struct(F.lit(left).alias("left"), origin.alias("origin"), text.alias("side"))
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        blank = F.repeat(F.lit(" "), s.end - F.greatest(at, s.start))
+        end = F.greatest(at, s.end)
+        return end, s.end > at, F.struct(F.concat(F.substring(text, at + 1, s.start - at), blank).alias("piece"), end.alias("end"))
 
-    left, right = F.col("s.left"), F.col("s.right")
-    sides = spans.select(
-        "doc_id",
-        F.xxhash64("s.kind", F.lower("s.value")).alias("entity"),
-        F.xxhash64(left, right).alias("context"),
-        F.explode(F.array(side(True, F.col("s.start") - F.length(left), left), side(False, F.col("s.end"), right))).alias("side"),
-    ).select("doc_id", "entity", "context", "side.*")
+    pieces = _gathered(base, "array<struct<piece:string,end:int>>", step)
+    joined = F.concat(F.array_join(F.transform(pieces, lambda x: x.piece), ""), F.substring(text, F.array_max(base.end) + 1, F.length(text)))
+    return F.when(F.size(base) > 0, joined).otherwise(text)
+
+
+def _hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def _key(text: Column) -> Column:
+    """Tells texts apart. What is found in a text depends on nothing else of its row."""
+    return F.md5(text)
 
-    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
-        start = at + F.length(x["0"])
-        end = start + F.length(x["1"])
-        # A word at the cut may be a part of one, as may a word that touches the span.
-        word = F.struct(start.alias("start"), end.alias("end"), x["1"].alias("word"))
-        return end, (start > 0) & (end < F.length("side")), word
 
-    placed = sides.withColumn("words", _gathered(_matches(F.col("side"), WORD), "array<struct<start:int,end:int,word:string>>", step))
-    near = F.when(F.col("left"), F.slice("words", F.greatest(F.size("words") - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS)).otherwise(
-        F.slice("words", 1, NEAR_WORDS)
+def _read(docs: DataFrame) -> DataFrame:
+    """(key, entities, words) of each row: different entities with one context each, and the hashes of different words outside spans."""
+    t, base, named = F.col("t"), F.col("base"), F.col("named")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("t")).withColumn("base", _base(t)).withColumn("masked", _masked(base, t))
+    entities = F.transform(
+        base, lambda s: F.struct(F.xxhash64(s.kind, F.lower(s.value)).alias("entity"), F.xxhash64(s.left, s.right).alias("context"))
     )
-    found = placed.select("doc_id", "entity", "context", "origin", F.explode(near).alias("w"))
-    return found.select(
-        "doc_id",
-        "entity",
-        "context",
-        F.xxhash64(F.lower("w.word")).alias("word"),
-        (F.col("origin") + F.col("w.start")).alias("start"),
-        (F.col("origin") + F.col("w.end")).alias("end"),
+    words = F.array_distinct(F.transform(F.regexp_extract_all("masked", F.lit(WORD), F.lit(0)), _hash))
+    rows = rows.select(_key(t).alias("key"), F.sort_array(entities).alias("named"), words.alias("words"))
+    first = F.filter(named, lambda x, i: (i == 0) | (F.get(named, i - 1).entity != x.entity))
+    return rows.select("key", first.alias("entities"), "words")
+
+
+def terms_of(docs: DataFrame) -> DataFrame:
+    """(key, revealing): for each text that holds any, the hashes of its words that reveal an entity anywhere in the corpus."""
+    rows = materialize(_read(docs), "words")
+    total = rows.count()
+    counted = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("with_word"))
+    held = rows.filter(F.size("entities") > 0)
+    # Copies of a text are one row from here on, with their number.
+    named = held.select("key", F.explode("entities").alias("e")).groupBy("key", "e.entity", "e.context").agg(F.count("*").alias("copies"))
+    entities = named.groupBy("entity").agg(F.sum("copies").alias("with_entity"))
+    # Both limits bound the counts of a pair. One document alone can never reach the first if it reaches the second.
+    entities = entities.filter((F.col("with_entity") > 1) & (F.log2(total / F.col("with_entity")) >= MIN_BITS))
+    named = materialize(named.join(entities, "entity"), "entities")
+    most = named.groupBy("key").agg(F.max("with_entity").alias("most"))
+    seen = held.select("key", F.explode("words").alias("word")).join(most, "key").distinct()
+    seen = seen.join(counted.filter("with_word > 1"), "word").filter(F.col("with_word") * MIN_CHANCE <= F.col("most"))
+    pairs = seen.select("key", "word", "with_word").join(named, "key").filter(F.col("with_word") * MIN_CHANCE <= F.col("with_entity"))
+    pairs = pairs.groupBy("word", "entity", "context").agg(
+        F.sum("copies").alias("copies"), F.first("with_word").alias("with_word"), F.first("with_entity").alias("with_entity")
     )
+    pairs = pairs.groupBy("word", "entity").agg(
+        F.count("*").alias("different"), F.sum("copies").alias("both"), F.first("with_word").alias("with_word"), F.first("with_entity").alias("with_entity")
+    )
+    usual = F.col("with_entity") / total
+    # Copies with the same text beside the entity count once.
+    chance = (F.col("different") + PRIOR * usual) / (F.col("with_word") - F.col("both") + F.col("different") + PRIOR)
+    revealing = pairs.filter((chance >= MIN_CHANCE) & (F.log2(chance / usual) >= MIN_BITS)).select("word").distinct()
+    revealing = materialize(revealing, "revealing")
+    places = rows.select("key", F.explode("words").alias("word")).join(revealing, "word", "left_semi")
+    return places.groupBy("key").agg(F.collect_set("word").alias("revealing"))
 
 
-def term_spans(docs: DataFrame, based: DataFrame) -> DataFrame:
-    """(doc_id, start, end) of the words near entities that exceed the limits. ``based``: rows with spans."""
-    near = materialize(_contexts(based), "contexts")
-    pairs = near.groupBy("entity", "word").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("both"))
-    # A word stands in at least as many documents as it stands in near any entity, which rules out most pairs.
-    least = near.groupBy("word").agg(F.count_distinct("doc_id").alias("least"))
-    pairs = pairs.filter(F.col("contexts") >= MIN_CONTEXTS).join(least, "word").filter(F.col("both") >= MIN_CHANCE * F.col("least"))
-    pairs = materialize(pairs.drop("least"), "pairs")
-    entities = near.join(pairs.select("entity").distinct(), "entity").groupBy("entity").agg(F.count_distinct("doc_id").alias("with_entity"))
-    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))), lambda w: F.xxhash64(w))
-    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("with_word"))
-    asked = pairs.select("word").distinct()
-    known = pairs.join(counted.join(asked, "word", "left_semi"), "word").join(entities, "entity")
-    total = docs.count()
-    chance = F.col("both") / F.greatest("with_word", "both")
-    bits = F.log2(chance * total / F.col("with_entity"))
-    revealing = known.filter((chance >= MIN_CHANCE) & (bits >= MIN_BITS)).select("entity", "word")
-    return near.join(revealing, ["entity", "word"]).select("doc_id", "start", "end").distinct()
+def find(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_base`` and ``_terms``, the spans of its text; terms are arrays of (start, end) in order."""
+    lists = materialize(terms_of(docs), "terms").withColumnsRenamed({"key": "_key", "revealing": "_revealing"})
+    t, base, masked, revealing = F.coalesce(F.col("text"), F.lit("")), F.col("_base"), F.col("_masked"), F.col("_revealing")
+    rows = docs.withColumn("_text_key", _key(t)).join(lists, F.col("_text_key") == F.col("_key"), "left").drop("_text_key", "_key")
+    rows = rows.withColumn("_base", _base(t)).withColumn("_masked", F.when(revealing.isNotNull(), _masked(base, t)))
 
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        start = at + F.length(x["0"])
+        end = start + F.length(x["1"])
+        return end, F.array_contains(revealing, _hash(x["1"])), F.struct(start.alias("start"), end.alias("end"))
 
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, terms) for each row of ``docs``; terms are arrays of (start, end) in order."""
-    texts = docs.select("doc_id", "text")
-    based = materialize(base_spans(texts).select("doc_id", "base"), "spans")
-    terms = term_spans(texts, based.filter(F.size("base") > 0))
-    lists = terms.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    free = based.filter(F.size("base") == 0).select("doc_id", "base", none.alias("terms"))
-    held = based.filter(F.size("base") > 0).join(lists, "doc_id", "left")
-    return free.union(held.select("doc_id", "base", F.coalesce("terms", none)))
+    kind = "array<struct<start:int,end:int>>"
+    terms = F.coalesce(_gathered(_matches(masked, WORD), kind, step), F.array().cast(kind))
+    return rows.withColumn("_terms", terms).drop("_masked", "_revealing")
 
 
 def _count(kind: int) -> Column:
-    return F.size(F.filter("base", lambda s: s.kind == kind)).cast("bigint")
+    return F.size(F.filter("_base", lambda s: s.kind == kind)).cast("bigint")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts by kind, the digest of the base spans and all spans as text."""
-    found = find(docs)
+    found = find(docs.select("doc_id", "text"))
     names = F.array(*(F.lit(k) for k in (*KINDS, "term")))
 
     def shown(s: Column) -> Column:
         return F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string"))
 
-    plain = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
-    added = F.transform("terms", lambda s: F.struct(s.start.alias("start"), F.lit(len(KINDS)).alias("kind"), s.end.alias("end")))
+    plain = F.transform("_base", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
+    added = F.transform("_terms", lambda s: F.struct(s.start.alias("start"), F.lit(len(KINDS)).alias("kind"), s.end.alias("end")))
     return found.select(
         "doc_id",
         *(_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)),
@@ -219,13 +231,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with entities replaced by their kind, in brackets, and revealing terms removed. doc_id must tell rows apart."""
-    found = find(docs).filter((F.size("base") > 0) | (F.size("terms") > 0))
+    """``docs`` with entities replaced by their kind, in brackets, and revealing terms removed; ids are not used."""
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS), F.lit(""))
-    base = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
-    added = F.transform("terms", lambda s: F.struct(s.start.alias("start"), F.lit(len(KINDS)).alias("kind"), s.end.alias("end")))
-    cuts = found.select(F.col("doc_id").alias("_id"), F.sort_array(F.concat(base, added)).alias("_cuts")).dropDuplicates(["_id"])
-    joined = docs.join(cuts, F.col("doc_id") == F.col("_id"), "left")
+    base = F.transform("_base", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
+    added = F.transform("_terms", lambda s: F.struct(s.start.alias("start"), F.lit(len(KINDS)).alias("kind"), s.end.alias("end")))
+    joined = find(docs).withColumn("_cuts", F.sort_array(F.concat(base, added)))
 
     def step(a: Column, s: Column) -> Column:
         label = F.get(labels, s.kind)
@@ -236,5 +246,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_cuts", start, step, lambda a: F.concat(a.out, F.substring("text", a.at + 1, F.length("text"))))
-    text = F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col("text"))
-    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
+    text = F.when(F.size("_cuts") > 0, clean).otherwise(F.col("text"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
