@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, decontaminate, minhash, pii, quality_mil, quality_rules, secrets, substrings, toxicity, url_filter
+from weft.llm import bpe, decontaminate, exact, minhash, pii, quality_mil, quality_rules, secrets, substrings, toxicity, url_filter
 from weft.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without strings of 50 bytes that an earlier one holds."""
     return substrings.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the copy of it that stays."""
+    return exact.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_exact_dedup"] = exact.REPORT_SQL
