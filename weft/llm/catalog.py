@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, decontaminate, exact, minhash, pii, quality_mil, quality_rules, secrets, substrings, toxicity, url_filter
+from weft.llm import bpe, decontaminate, exact, minhash, pii, quality_mil, quality_rules, secrets, substrings, toxicity, url_filter, whitening
 from weft.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_exact_dedup"] = exact.REPORT_SQL
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every embedding."""
+    return whitening.report(table(spark, sf_dir, "embeddings"))
