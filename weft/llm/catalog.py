@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, decontaminate, exact, minhash, pii, quality_mil, quality_rules, secrets, substrings, toxicity, url_filter, whitening
+from weft.llm import bpe, decontaminate, exact, hard_negatives, minhash, pii, quality_mil, quality_rules, secrets, substrings, toxicity, url_filter, whitening
 from weft.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,14 @@ ORACLES["op11_exact_dedup"] = exact.REPORT_SQL
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened leading components of every embedding."""
     return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding; every seventh has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = hard_negatives.MINED_SQL
