@@ -8,8 +8,10 @@ from golden import BASELINE, BROKEN, GRAPHS, HASHES, MODIFIED
 from weft.functions.identity import node_id
 from weft.operators import edges as E
 from weft.operators import extract as P
+from weft.operators import sequence as S
 from weft.plans.build import build
 from weft.plans.reports import identity_drift
+from weft.session import materialize
 from weft.sources.eventlog import read_log
 
 
@@ -62,7 +64,7 @@ def test_recorded_parents_and_contexts_equal_the_joins(sources):
     rows = P.parsed_nodes(P.extract(sources({n: g[0] for n, g in GRAPHS.items()})))
     assert E.tree_edges(rows).exceptAll(E.recorded_tree_edges(rows)).count() == 0
     assert E.recorded_tree_edges(rows).exceptAll(E.tree_edges(rows)).count() == 0
-    joined = E.with_context(rows.drop("ctx", "chunk")).where("node_type = 'Name'").select("node_id", "ctx")
+    joined = E.with_context(rows.drop("ctx")).where("node_type = 'Name'").select("node_id", "ctx")
     assert joined.exceptAll(rows.where("node_type = 'Name'").select("node_id", "ctx")).count() == 0
 
 
@@ -132,18 +134,19 @@ def test_literals_do_not_change_ids(sources):
 
 
 def test_split_files_give_the_same_edges(sources, monkeypatch):
-    """With the limits at their lowest every file is cut into many chunks."""
+    """Every file but the smallest is cut into many blocks."""
     files = {n: g[0] for n, g in GRAPHS.items()}
     files["wide.py"] = b"; ".join(b"w%d = w%d" % (i % 5, (i * 2) % 5) for i in range(60)) + b"\n"
     files["long.py"] = b"".join(b"v%d = v%d\n" % (i % 7, (i * 3) % 7) for i in range(300))
-    whole = E.typed_edges(P.parsed_nodes(P.extract(sources(files))))
-    want = {tuple(r) for r in whole.collect()}
-    monkeypatch.setattr(P, "SPLIT_BYTES", 0)
-    monkeypatch.setattr(P, "CHUNK_COLUMNS", 3)
-    rows = P.parsed_nodes(P.extract(sources(files)))
-    # An empty file is no larger than zero bytes and stays whole.
-    assert rows.where("is_split").select("chunk").distinct().count() > 50
-    assert {tuple(r) for r in E.typed_edges(rows).collect()} == want
+    files["calls_below.py"] = b"".join(b"f%d()\n" % (i % 9) for i in range(90)) + b"".join(b"def f%d(): f0()\n" % i for i in range(9))
+    rows = materialize(P.parsed_nodes(P.extract(sources(files))), "rows")
+    want = {tuple(r) for r in E.typed_edges(rows).collect()}
+    monkeypatch.setattr(S, "BLOCK_ROWS", 12)
+    laid_out = S.blocked(rows, E.FILE, E.ORDER)
+    assert laid_out.select(*E.FILE, "block").distinct().count() > 50
+    for recorded in (False, True):
+        got = E.typed_edges(rows, recorded).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def test_published_records(spark, sources, tmp_path):

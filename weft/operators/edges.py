@@ -1,8 +1,8 @@
 """Typed edges from a node table (WN-1 to WN-3, JN-1 to JN-3, ST-1 to ST-3).
 
 Every operator takes its scope, order and id columns as parameters and so works on any table
-of ordered records; the defaults fit the node contract. Node tables carry the layout columns
-``is_split`` and ``chunk`` of :mod:`weft.operators.sequence`.
+of ordered records; the defaults fit the node contract. Large scopes are cut into blocks by
+:mod:`weft.operators.sequence`.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from weft.functions.identity import edge_id
 from weft.functions.text import last_segment, parent_path
-from weft.operators.sequence import with_last, with_next
+from weft.operators.sequence import blocked, with_above, with_first, with_last, with_next
 
 FILE = ("repo_name", "file_path")
 ORDER = ("lineno", "col_offset", "structural_path", "node_id")
+# The columns of linked nodes that name the other end of an edge.
+EDGE_ENDS = ("parent_id", "next_id", "def_id", "function_id")
 # The node types that define a function.
 FUNCTION_TYPES = ("FunctionDef", "AsyncFunctionDef")
 
@@ -31,14 +33,17 @@ def _edge(scope: Sequence[str], edge_type: str, source: str, target: str) -> lis
     ]
 
 
+def _parent_of(path: Column) -> Column:
+    """The path above, null for a root, whose path has no dot."""
+    return F.when(F.contains(path, F.lit(".")), parent_path(path))
+
+
 def tree_edges(nodes: DataFrame, scope: Sequence[str] = FILE) -> DataFrame:
     """Parent to child by structural path (JN-1). The root has no dot in its path."""
-    children = nodes.where(F.contains("structural_path", F.lit("."))).select(
-        *scope, parent_path(F.col("structural_path")).alias("structural_path"), "node_id"
-    )
-    parents = nodes.select(*scope, "structural_path", F.col("node_id").alias("parent_id"))
-    joined = children.join(parents, [*scope, "structural_path"])
-    return joined.select(*_edge(scope, "AST", "parent_id", "node_id"))
+    rows = nodes.select(*scope, "structural_path", "node_id")
+    laid_out = blocked(rows, scope, ("structural_path", "node_id"))
+    linked = with_above(laid_out, scope, "structural_path", _parent_of(F.col("structural_path")), "node_id", "parent_id")
+    return recorded_tree_edges(linked, scope)
 
 
 def recorded_tree_edges(nodes: DataFrame, scope: Sequence[str] = FILE) -> DataFrame:
@@ -54,7 +59,7 @@ def sequence_edges(
     edge_type: str = "CFG",
 ) -> DataFrame:
     """Each record to the next one of its scope (WN-1)."""
-    rows = nodes.select(*dict.fromkeys([*scope, *order, id_col, "is_split", "chunk"]))
+    rows = blocked(nodes.select(*dict.fromkeys([*scope, *order, id_col])), scope, order)
     linked = with_next(rows, scope, order, id_col, "next_id").where("next_id IS NOT NULL")
     return linked.select(*_edge(scope, edge_type, id_col, "next_id"))
 
@@ -71,15 +76,17 @@ def definition_edges(
 ) -> DataFrame:
     """Latest earlier store of a name to each load of it (WN-2).
 
-    Only stores and loads are shuffled, by (scope, name).
+    Only stores and loads are shuffled.
     """
     store, load = (F.expr(c) if isinstance(c, str) else c for c in (is_store, is_load))
     rows = nodes.where((store | load) & F.col(name).isNotNull() & (F.col(name) != "")).select(
-        *dict.fromkeys([*scope, name, *order, id_col, "is_split", "chunk"]),
+        *dict.fromkeys([*scope, name, *order, id_col]),
         store.alias("_store"),
     )
     stored = F.when(F.col("_store"), F.col(id_col))
-    read = with_last(rows, [*scope, name], order, stored, "def_id")
+    # No name has more rows than its file, and files are fewer to count.
+    laid_out = blocked(rows, scope, order)
+    read = with_last(laid_out, [*scope, name], order, stored, "def_id")
     linked = read.where("NOT _store AND def_id IS NOT NULL")
     return linked.select(*_edge(scope, edge_type, "def_id", id_col))
 
@@ -118,6 +125,62 @@ def with_context(nodes: DataFrame, scope: Sequence[str] = FILE) -> DataFrame:
     return nodes.join(contexts, [*scope, "structural_path"], "left")
 
 
+def linked_nodes(
+    nodes: DataFrame,
+    recorded_parents: bool = False,
+    scope: Sequence[str] = FILE,
+    order: Sequence[str] = ORDER,
+) -> DataFrame:
+    """Every node with the ends of its edges: ``parent_id``, ``next_id``, ``def_id`` and ``function_id``.
+
+    One layout and one exchange serve all four: rows are dealt out by (scope, block), and each edge set
+    is a sort of a block. Columns added to ``scope`` that depend on the file, such as its hash, come along.
+    """
+    known = ["parent_id"] if recorded_parents else []
+    rows = nodes.select(*dict.fromkeys([*scope, *order, "node_type", "name", "ctx", *known]))
+    rows = blocked(rows, scope, order)
+    if not recorded_parents:
+        above = _parent_of(F.col("structural_path"))
+        rows = with_above(rows, scope, "structural_path", above, "node_id", "parent_id")
+    rows = with_next(rows, scope, order, "node_id", "next_id")
+
+    kind, named = F.col("node_type"), F.col("name").isNotNull() & (F.col("name") != "")
+    variable = (kind == "Name") & named & F.col("ctx").isin("Store", "Load")
+    function, call = kind.isin(*FUNCTION_TYPES) & named, (kind == "Call") & named
+    # Variables and functions share the sort by name; a prefix keeps them apart.
+    symbol = (
+        F.when(variable, F.concat(F.lit("v "), "name"))
+        .when(function, F.concat(F.lit("f "), "name"))
+        .when(call, F.concat(F.lit("f "), last_segment(F.col("name"))))
+    )
+    rows = rows.withColumn("_symbol", symbol)
+    stored = F.when(variable & (F.col("ctx") == "Store"), F.col("node_id"))
+    rows = with_last(rows, [*scope, "_symbol"], order, stored, "def_id")
+    rows = with_first(rows, [*scope, "_symbol"], order, F.when(function, F.col("node_id")), "function_id")
+    return rows.select(
+        *dict.fromkeys([*scope, "node_type", "node_id", "parent_id", "next_id"]),
+        F.when(variable & (F.col("ctx") == "Load"), F.col("def_id")).alias("def_id"),
+        F.when(call & (F.col("function_id") != F.col("node_id")), F.col("function_id")).alias("function_id"),
+    )
+
+
+def edges_of(linked: DataFrame, scope: Sequence[str] = FILE) -> DataFrame:
+    """The four edge sets of :func:`linked_nodes` as rows."""
+
+    def edge(kind: str, source: str, target: str, end: str) -> Column:
+        ends = F.struct(F.lit(kind).alias("edge_type"), F.col(source).alias("source_id"), F.col(target).alias("target_id"))
+        return F.when(F.col(end).isNotNull(), ends)
+
+    sets = F.array(
+        edge("AST", "parent_id", "node_id", "parent_id"),
+        edge("CFG", "node_id", "next_id", "next_id"),
+        edge("DFG", "def_id", "node_id", "def_id"),
+        edge("CALL", "node_id", "function_id", "function_id"),
+    )
+    found = linked.select(*scope, F.explode(sets).alias("_edge")).where("_edge IS NOT NULL")
+    return found.select(*scope, "_edge.*")
+
+
 def typed_edges(
     nodes: DataFrame, recorded_parents: bool = False, scope: Sequence[str] = FILE
 ) -> DataFrame:
@@ -125,16 +188,9 @@ def typed_edges(
 
     With unique node ids no edge can occur twice: the target of an AST, CFG or DFG edge and
     the source of a CALL edge each occur once per type. Tables without that guarantee go
-    through :func:`distinct_edges`. Columns added to ``scope`` that depend on the file, such
-    as its hash, reach the edges without a join.
+    through :func:`distinct_edges`.
     """
-    tree = recorded_tree_edges(nodes, scope) if recorded_parents else tree_edges(nodes, scope)
-    names = nodes.where("node_type = 'Name'")
-    return (
-        tree.unionByName(sequence_edges(nodes, scope))
-        .unionByName(definition_edges(names, scope=scope))
-        .unionByName(call_edges(nodes, scope))
-    )
+    return edges_of(linked_nodes(nodes, recorded_parents, scope), scope)
 
 
 def distinct_edges(edges: DataFrame, scope: Sequence[str] = FILE) -> DataFrame:

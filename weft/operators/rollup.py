@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import event_timestamp
-from weft.operators.edges import FILE, FUNCTION_TYPES
+from weft.operators.edges import EDGE_ENDS, FILE, FUNCTION_TYPES
 from weft.schemas import EDGES_TOPIC, METADATA_TOPIC, NODES_TOPIC
 
 # Node types counted per file, and the cut of duplicate listings.
@@ -19,24 +19,24 @@ DOCUMENT_SAMPLE = 10
 EDGE_SAMPLE = 5
 
 
-def file_metadata(nodes: DataFrame, edges: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """Counts per file (AG-1). ``carried`` columns hold one value per file.
+def file_metadata(linked: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """Counts per file (AG-1) of nodes with the ends of their edges, as ``linked_nodes`` gives them.
 
-    Both sides are reduced to one row per file before they meet.
+    One aggregate counts nodes and edges. ``carried`` columns hold one value per file.
     """
 
     def kinds(types: Sequence[str], name: str) -> Column:
         return F.count_if(F.col("node_type").isin(*types)).cast("int").alias(name)
 
-    from_nodes = nodes.groupBy(*FILE).agg(
+    ends = sum((F.count(c) for c in EDGE_ENDS[1:]), start=F.count(EDGE_ENDS[0]))
+    return linked.groupBy(*FILE).agg(
         *[F.max(c).alias(c) for c in carried],
         kinds(FUNCTION_TYPES, "function_count"),
         kinds(CLASS_TYPES, "class_count"),
         kinds(IMPORT_TYPES, "import_count"),
         F.count("*").cast("int").alias("node_count"),
+        ends.cast("int").alias("edge_count"),
     )
-    from_edges = edges.groupBy(*FILE).agg(F.count("*").cast("int").alias("edge_count"))
-    return from_nodes.join(from_edges, list(FILE), "left").na.fill(0, ["edge_count"])
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,14 +11,9 @@ from pyspark.sql import functions as F
 from weft.functions.identity import edge_id, metadata_id, node_id
 from weft.functions.text import iso_utc
 from weft.operators.edges import sequence_edges
-from weft.operators.sequence import chunked, position_chunk
 from weft.schemas import EDGES_TOPIC, ERRORS_TOPIC, METADATA, METADATA_TOPIC, NODES_TOPIC
 from weft.sources.eventlog import event_json
 
-# Documents longer than this many characters have their token sequence cut into chunks.
-SPLIT_CHARS = 8_000_000
-CHUNK_TOKENS = 65_536
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,10 +34,9 @@ def token_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("repo_name"),
         F.concat(F.lit("doc/"), F.col("doc_id")).alias("file_path"),
         F.sha2("text", 256).alias("file_hash"),
-        (F.length("text") > SPLIT_CHARS).alias("is_split"),
         F.split("text", "\n").alias("lines"),
     )
-    keep = ("repo_name", "file_path", "file_hash", "is_split")
+    keep = ("repo_name", "file_path", "file_hash")
     lines = texts.select(*keep, F.posexplode("lines").alias("line_no", "line")).select(
         *keep, (F.col("line_no") + 1).alias("lineno"), "line"
     )
@@ -84,8 +78,7 @@ def token_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("module").alias("structural_path"),
         *[F.lit(0).alias(c) for c in ("lineno", "col_offset", "end_lineno", "end_col_offset")],
     )
-    nodes = inner.unionByName(modules).withColumn("node_id", node_id())
-    return chunked(nodes, position_chunk(CHUNK_TOKENS), F.col("is_split"))
+    return inner.unionByName(modules).withColumn("node_id", node_id())
 
 
 # The node table of token_nodes in SQL; queries put it into their WITH list.
@@ -306,9 +299,7 @@ def order_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         )
 
     def edges(rows: DataFrame) -> DataFrame:
-        # A customer may hold any share of the orders: cut the sequence by days.
-        laid_out = chunked(rows, F.to_date("day"))
-        linked = sequence_edges(laid_out, order=("day", "id"), id_col="id")
+        linked = sequence_edges(rows, order=("day", "id"), id_col="id")
         hashed = linked.join(rows.select("repo_name", "file_path", F.col("id").alias("source_id"), "file_hash"), ["repo_name", "file_path", "source_id"])
         return hashed.select(
             edge_id().alias("id"),
@@ -377,14 +368,13 @@ replaced_edges AS (SELECT * FROM kept_edges UNION ALL SELECT * FROM new_edges)
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as ordered records (T5); long conversations are cut every 1024 turns."""
-    rows = table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("conv/"), F.col("conv_id")).alias("file_path"),
         F.lit("chat").alias("repo_name"),
         F.col("turn"),
         F.col("role"),
         F.concat_ws("/", F.col("conv_id"), F.col("turn")).alias("id"),
     )
-    return chunked(rows, F.floor(F.col("turn") / 1024))
 
 
 TURNS_SQL = """

@@ -122,8 +122,7 @@ def jn3(spark, sf_dir):
     f"{_GRAPH} SELECT edge_id, edge_type, source_id, target_id, repo_name, file_path FROM edges",
 )
 def st1(spark, sf_dir):
-    tokens = materialize(token_nodes(spark, sf_dir), "tokens")
-    edges = E.identified(E.typed_edges(tokens))
+    edges = E.identified(E.typed_edges(token_nodes(spark, sf_dir)))
     return edges.select("edge_id", "edge_type", "source_id", "target_id", "repo_name", "file_path")
 
 
@@ -211,8 +210,8 @@ def st3_listing(spark, sf_dir):
     FROM n LEFT JOIN e ON n.repo_name = e.repo_name AND n.file_path = e.file_path""",
 )
 def ag1(spark, sf_dir):
-    tokens = materialize(token_nodes(spark, sf_dir), "tokens")
-    return R.file_metadata(tokens, E.typed_edges(tokens), carried=("file_hash",))
+    scope = (*E.FILE, "file_hash")
+    return R.file_metadata(E.linked_nodes(token_nodes(spark, sf_dir), scope=scope), carried=("file_hash",))
 
 
 @query(
@@ -383,7 +382,7 @@ def sl2(spark, sf_dir):
 )
 def sl4(spark, sf_dir):
     """The order of all typed edges, as a range-partitioned sort."""
-    edges = E.typed_edges(materialize(token_nodes(spark, sf_dir), "tokens"))
+    edges = E.typed_edges(token_nodes(spark, sf_dir))
     columns = ("repo_name", "file_path", "edge_type", "source_id", "target_id")
     return edges.select(*columns).orderBy("edge_type", "source_id", "target_id")
 
