@@ -72,8 +72,8 @@ def test_whole_table(spark):
 
 
 def test_terms_that_reveal_an_entity(spark):
-    filler = [(100 + i, f"plain words number {i} and the rest of it all") for i in range(300)]
-    # "captain" stands only near one address, "the" stands everywhere.
+    filler = [(100 + i, f"plain words number {i} and the rest of it all today") for i in range(300)]
+    # "captain" stands only in documents of one address, "the" and "today" stand everywhere.
     near = [(i, f"text{i} the captain nemo@sea.example.org writes{i} the letter{i} today") for i in range(6)]
     docs = spark.createDataFrame(filler + near, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.report(docs).collect()}

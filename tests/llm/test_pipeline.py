@@ -80,3 +80,24 @@ def test_stages_on_odd_rows(spark):
         n = docs.count()
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SF).count() in ((0,) if not n else (n, n - 1))
+
+
+def test_every_row_is_judged_by_its_own_text(spark, steps):
+    """Rows without an id, rows that repeat one with another text, and columns with clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in steps[0][1]}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    toxic = next(texts[i] for i in sorted(texts) if i not in kept)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    plain = "plain words that nobody minds, and a few more of them"
+    rows = [(None, toxic, "a", 1), (10**9, plain, "b", 2), (10**9, toxic, "c", 3), (10**9 + 1, f"{plain} {item} {plain}", "d", 4), (None, item, "e", 5), (10**9 + 2, None, "f", 6)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, _bad string, score int")
+    # The model is learned from the labelled documents among them.
+    odd = odd.unionByName(docs.select("doc_id", "text", F.lit("other").alias("_bad"), F.lit(0).alias("score")))
+    odd = odd.withColumn("_id", F.lit("x")).withColumn("items", F.lit(1))
+    left = corpus_pipeline.drop_toxic(spark, odd, SF)
+    assert left.columns == odd.columns
+    assert sorted(r["_bad"] for r in left.filter("_bad <> 'other'").collect()) == ["b", "d", "e", "f"]
+    left = corpus_pipeline.drop_benchmark(spark, odd, SF)
+    assert left.columns == odd.columns
+    assert sorted(r["_bad"] for r in left.filter("_bad <> 'other'").collect()) == ["a", "b", "c", "f"]

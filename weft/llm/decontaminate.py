@@ -10,7 +10,8 @@ slice; benchmarks are small, so there is one as a rule.
 
 Defined results: null and empty texts hold nothing; items under ``MIN_CHARS`` characters are too short to tell
 from ordinary text and match nothing, as do null ones; items with equal text all count; repeated rows
-give repeated results; an empty table on either side gives no matches; other columns are ignored.
+give repeated results; an empty table on either side gives no matches; other columns are ignored. Every row is judged
+by its own text, rows without an id too.
 """
 
 from __future__ import annotations
@@ -111,23 +112,31 @@ class Items:
         return [(i, d, e) for i, (d, e) in sorted(best.items())]
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """(doc_id, items): for each row of ``docs``, the ids of the items it holds, with distance and end."""
+_MATCHES = "array<struct<item_id:bigint,distance:int,end:int>>"
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
+
+
+def _slices(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in parts of about ``SLICE_CHARS`` characters."""
     sized = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     slices = -(-total // SLICE_CHARS) or 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
-    lists = "array<struct<item_id:bigint,distance:int,end:int>>"
-    rows = rows.withColumn("items", F.array().cast(lists))
-    # Each pass adds to the list that the row carries.
     for part in range(slices):
         own = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == part).orderBy("item_id", "text").collect()
-        rows = rows.mapInArrow(_adding([tuple(r) for r in own], rate, kind), f"doc_id bigint, text string, items {lists}")
+        yield [tuple(r) for r in own]
+
+
+def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """(doc_id, items): for each row of ``docs``, the ids of the items it holds, with distance and end."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("items", F.array().cast(_MATCHES))
+    # Each pass adds to the list that the row carries.
+    for part in _slices(items):
+        rows = rows.mapInArrow(_adding(part, rate), f"doc_id bigint, text string, items {_MATCHES}")
     return rows.select("doc_id", "items")
 
 
-def _adding(part: list[tuple[int, str]], rate: float, kind: pa.DataType):
+def _adding(part: list[tuple[int, str]], rate: float):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items(part, rate)
         for batch in source:
@@ -135,7 +144,7 @@ def _adding(part: list[tuple[int, str]], rate: float, kind: pa.DataType):
                 before + [{"item_id": k, "distance": d, "end": e} for i, d, e in known.find(text) for k in known.ids[i]]
                 for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["doc_id", "text", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _KIND)], ["doc_id", "text", "items"])
 
     return batches
 
@@ -147,7 +156,19 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("bigint").alias("n_items"), ids.alias("item_ids"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item, by doc_id; rows without an id stay."""
-    bad = matches(docs, items).filter(F.size("items") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of ``docs`` that hold no item. Each row is judged by its own text, where it is; nothing is joined."""
+    at = docs.columns.index("text")
+
+    def without(part: list[tuple[int, str]]):
+        def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Items(part, rate)
+            for batch in source:
+                texts = batch.column(at).fill_null("").to_pylist()
+                yield batch.filter(pa.array([not known.find(text) for text in texts], pa.bool_()))
+
+        return batches
+
+    for part in _slices(items):
+        docs = docs.mapInArrow(without(part), docs.schema)
+    return docs

@@ -39,7 +39,7 @@ NEAR_CHARS = 80
 #: Limits of a term: chance of the entity given the word, and bits of disclosure. The chance is estimated with so many documents
 #: more that hold the word, and the entity as often as any.
 MIN_CHANCE = 0.5
-MIN_BITS = 6.0
+MIN_BITS = 5.0
 PRIOR = 2.0
 
 

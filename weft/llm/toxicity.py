@@ -242,33 +242,61 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = MAX_EXAM
     return model
 
 
+class Scorer:
+    """Scores and evidence of texts. Results of equal vectors are remembered, up to ``limit`` bytes."""
+
+    def __init__(self, model: Model, limit: int = 16 << 20):
+        self.model, self.limit, self.size = model, limit, 0
+        self.known: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for found, first in _terms(texts):
+            for a, b in zip(first[:-1], first[1:]):
+                places, weights = self.model.vectors.of(found[a:b])
+                name = places.tobytes() + weights.tobytes()
+                if name not in self.known:
+                    if self.size > self.limit:
+                        self.known.clear()
+                        self.size = 0
+                    value, near, similar = self.model.score(places, weights)
+                    self.known[name] = value, near[:EVIDENCE].copy(), similar[:EVIDENCE].copy()
+                    # An entry's arrays and objects take about so much besides its name.
+                    self.size += len(name) + 700
+                yield self.known[name]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, evidence): evidence are the nearest examples with similarity and label rate."""
     item = pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.float64())])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[float, list]] = {}
-        index = model.index
+        scorer, index = Scorer(model), model.index
         for batch in source:
             scores, evidence = [], []
-            for found, first in _terms(batch.column(1)):
-                for a, b in zip(first[:-1], first[1:]):
-                    places, weights = model.vectors.of(found[a:b])
-                    name = places.tobytes() + weights.tobytes()
-                    if name not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        value, near, similar = model.score(places, weights)
-                        shown = [
-                            {"example": int(index.id[i]), "similarity": float(s), "toxic": float(index.toxic[i] / index.all[i])}
-                            for i, s in zip(near[:EVIDENCE], similar)
-                        ]
-                        known[name] = value, shown
-                    scores.append(known[name][0])
-                    evidence.append(known[name][1])
+            for value, near, similar in scorer(batch.column(1)):
+                scores.append(value)
+                evidence.append(
+                    [
+                        {"example": int(index.id[i]), "similarity": float(s), "toxic": float(index.toxic[i] / index.all[i])}
+                        for i, s in zip(near, similar)
+                    ]
+                )
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(item))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id bigint, score double, evidence array<struct<example:bigint,similarity:double,toxic:double>>"
     return rows.mapInArrow(batches, schema)
+
+
+def below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``limit``. Each row is judged by its own text, where it is; nothing is joined."""
+    at = docs.columns.index("text")
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in source:
+            texts = batch.column(at).fill_null("")
+            yield batch.filter(pa.array([value < limit for value, _, _ in scorer(texts)], pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)
