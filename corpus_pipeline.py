@@ -21,9 +21,7 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled examples do not call them toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True)))
-    bad = scored.filter(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs.doc_id == F.col("_id"), "left_anti")
+    return toxicity.below(docs, toxicity.fit(docs, labels, F.lit(True)), TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
