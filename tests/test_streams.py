@@ -8,8 +8,10 @@ from golden import BASELINE, MODIFIED
 from weft.operators.keyed_table import KeyedTable
 from weft.plans import reports as V
 from weft.plans.build import build
-from weft.schemas import EDGES_TOPIC, LOG_ENVELOPE, METADATA, METADATA_TOPIC, NODES_TOPIC
-from weft.sources.eventlog import read_log, stream_log
+from weft.schemas import EDGES_TOPIC, LOG_ENVELOPE, METADATA, METADATA_TOPIC, NODES_TOPIC, SCOPES_TOPIC
+from weft.operators.contract import envelope
+from weft.operators.file_table import FileTable
+from weft.sources.eventlog import append_log, read_log, route, stream_log
 from weft.jobs import stream_jobs as J
 
 
@@ -63,6 +65,9 @@ def test_stream_values(spark, write_log, tmp_path):
     assert rows["b"].line_count is None and rows["c"].line_count is None
     assert rows["e"].metadata_id == spark.sql("SELECT sha2(concat_ws('\\u001f', 'r', 'e'), 256)").first()[0]
     assert all(r.ingested_at is not None and r.spark_batch_id == 0 for r in rows.values())
+    rejected = spark.read.parquet(f"{store.rejects}/0").orderBy("offset").collect()
+    assert [r.reject_reason for r in rejected] == ["malformed json", "malformed json", "missing repo_name", "missing file_path"]
+    assert [r.value and bytes(r.value)[:7] for r in rejected][:2] == [b"{broken", None]
 
 
 def test_resume_applies_nothing_twice(spark, write_log, tmp_path):
@@ -141,6 +146,93 @@ def test_keyed_table_against_a_model(spark, tmp_path):
     assert table.read(only=F.col("k").isin("none", *gone)).count() == 0
 
 
+FILE_ROWS = "id string, repo_name string, file_path string, v int"
+
+
+def test_file_table_against_a_model(spark, tmp_path):
+    table = FileTable(spark, str(tmp_path / "t"), METADATA.__class__.fromDDL(FILE_ROWS), buckets=4)
+    rng, model = random.Random(6), {}
+    assert table.read().count() == 0 and table.read("r", "f1").count() == 0
+
+    def check():
+        assert {r.id: (r.file_path, r.v) for r in table.read().collect()} == model
+        for file in ("f0", "f3"):
+            mine = {k: v for k, v in model.items() if v[0] == file}
+            assert {r.id: (r.file_path, r.v) for r in table.read("r", file).collect()} == mine
+
+    for step in range(5):
+        files = [f"f{rng.randrange(8)}" for _ in range(4)]
+        rows = {f"{f}/{rng.randrange(5)}": (f, rng.randrange(99)) for f in files}
+        gone = {f"f{rng.randrange(8)}" for _ in range(step)}
+        batch = spark.createDataFrame([(k, "r", f, v) for k, (f, v) in rows.items()], FILE_ROWS)
+        scope = spark.createDataFrame([("r", f) for f in gone], "repo_name string, file_path string")
+        for _ in range(1 + step % 2):  # the retry of a batch changes nothing
+            table.apply(batch, scope)
+        model = {k: v for k, v in model.items() if v[0] not in gone} | rows
+        check()
+    some = spark.createDataFrame([("r", "f1"), ("r", "f2")], "repo_name string, file_path string")
+    found = table.read_files(some)
+    assert {r.id for r in found.collect()} == {k for k, v in model.items() if v[0] in ("f1", "f2")}
+    table.delete(found)
+    model = {k: v for k, v in model.items() if v[0] not in ("f1", "f2")}
+    check()
+    # Every row gone: the folders are emptied, not left as they were.
+    table.delete(table.read())
+    model = {}
+    check()
+
+
+def test_one_file_rewrites_one_folder(spark, tmp_path):
+    table = FileTable(spark, str(tmp_path / "t"), METADATA.__class__.fromDDL(FILE_ROWS), buckets=16)
+    rows = [(f"{f}/{i}", "r", f"f{f}", i) for f in range(200) for i in range(3)]
+    table.apply(spark.createDataFrame(rows, FILE_ROWS))
+
+    def parts():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part-*.parquet")}
+
+    before = parts()
+    assert len(before) >= 16
+    one = spark.createDataFrame([("7/9", "r", "f7", 9)], FILE_ROWS)
+    table.apply(one, one.select("repo_name", "file_path"))
+    after = parts()
+    assert len({p.rsplit("/", 2)[1] for p in before.keys() ^ after.keys()}) == 1
+    assert [r.id for r in table.read("r", "f7").collect()] == ["7/9"] and table.read().count() == 598
+    assert len({p.rsplit("/", 2)[1] for p in table.read("r", "f7").inputFiles()}) >= 1
+    plan = table.read("r", "f7")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_scope_records_act_in_their_place(spark, sources, tmp_path):
+    """Events, a scope and newer events in one batch, in several ones, and with a batch applied again."""
+    log = str(tmp_path / "log")
+    publish(sources, log, {"probe.py": BASELINE, "other.py": b"x = 1\n"})
+    scope = spark.createDataFrame([("example", "probe.py"), ("example", "gone.py")], "repo_name string, file_path string")
+    append_log(route(scopes=envelope(scope, F.lit("2024-01-01T00:00:00Z"))), log, 1 << 50)
+    publish(sources, log, {"probe.py": MODIFIED}, first_offset=1 << 51)
+    logs = {t: read_log(spark, log).where(F.col("topic").isin(t, SCOPES_TOPIC)) for t in (NODES_TOPIC, EDGES_TOPIC)}
+
+    def state(store):
+        return {r.id for r in store.nodes.read().collect()}, {r.id for r in store.edges.read().collect()}
+
+    at_once = J.GraphStore(spark, str(tmp_path / "at_once"))
+    at_once.apply_nodes(logs[NODES_TOPIC], 0)
+    at_once.apply_edges(logs[EDGES_TOPIC], 0)
+    want = state(at_once)
+    assert [len(part) for part in want] == [14 + 5, 26 + 8]
+    assert at_once.placeholders().count() == 0
+
+    stepwise = J.GraphStore(spark, str(tmp_path / "stepwise"))
+    cuts = [0, 1 << 50, 1 << 51, 1 << 62]
+    for batch, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        part = (F.col("offset") >= low) & (F.col("offset") < high)
+        for _ in range(2):
+            stepwise.apply_edges(logs[EDGES_TOPIC].where(part), batch)
+            stepwise.apply_nodes(logs[NODES_TOPIC].where(part), batch)
+        if batch == 1:
+            assert [len(part) for part in state(stepwise)] == [5, 8]
+    assert state(stepwise) == want
+
+
 def publish(sources, path, files, first_offset=0):
     build(sources(files)).publish(path, first_offset)
 

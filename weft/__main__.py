@@ -70,9 +70,7 @@ def verify_graph(spark: SparkSession, args: argparse.Namespace) -> int:
     for table in (nodes, edges):
         _show(duplicate_groups(table, ["id"]).orderBy("id"), GRAPH_SAMPLE)
     if args.file:
-        # Node ids belong to one file for ever, so the scan itself can be cut to the file.
-        mine = (F.col("repo_name") == args.repo) & (F.col("file_path") == args.file)
-        _show(one_file_counts(store.nodes.read(only=mine), edges, args.repo, args.file))
+        _show(one_file_counts(store.nodes.read(args.repo, args.file), edges, args.repo, args.file))
         _show(edge_sample(edges, nodes, args.repo, args.file))
     return 0 if health.first().passed else 1
 
@@ -146,7 +144,7 @@ def resume_check(spark: SparkSession, args: argparse.Namespace) -> int:
 def compact(spark: SparkSession, args: argparse.Namespace) -> int:
     """Merge the batches of every table into a new base."""
     stores = Workspace(spark, args.workspace)
-    for table in (stores.metadata, stores.graph.nodes, stores.graph.edges, stores.graph.files, stores.graph.repositories):
+    for table in (stores.metadata, stores.graph.files, stores.graph.repositories):
         table.compact()
     return 0
 

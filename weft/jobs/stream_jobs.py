@@ -1,7 +1,7 @@
 """Stream jobs that keep the stores current (SS-1 to SS-8, SNK-3 to SNK-7).
 
 Each job is project, filter and ``foreachBatch`` with a keyed write. The checkpoint owns the
-offsets; a batch that is retried overwrites its own folder, so at-least-once delivery gives
+offsets; a batch that is retried gives the same rows again, so at-least-once delivery gives
 exactly-once tables.
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.operators.contract import (
     backfill_metadata_id,
@@ -20,15 +21,17 @@ from weft.operators.contract import (
     validate,
     with_required_key,
 )
+from weft.operators.file_table import FileTable
 from weft.operators.keyed_table import KeyedTable
 from weft.operators.merge import (
+    FILE,
     graph_edges,
     graph_files,
     graph_nodes,
     graph_repositories,
     incident_edges,
+    latest_per_key,
     placeholders,
-    scope_nodes,
 )
 from weft.schemas import (
     EDGES_TOPIC,
@@ -38,6 +41,7 @@ from weft.schemas import (
     GRAPH_REPOSITORY,
     METADATA,
     NODES_TOPIC,
+    SCOPES_TOPIC,
     STORED_METADATA,
 )
 from weft.session import materialize
@@ -58,17 +62,46 @@ def metadata_table(spark: SparkSession, path: str) -> KeyedTable:
     return KeyedTable(spark, path, STORED_METADATA, ["metadata_id"])
 
 
+def metadata_records(log: DataFrame) -> DataFrame:
+    """All metadata records, typed as far as they can be read, with their log order and text."""
+    return decode(log, METADATA, (*LOG_ORDER, "value"))
+
+
+def usable(records: DataFrame) -> DataFrame:
+    """The records that name their file, each with an identity (PRJ-6, PRJ-7)."""
+    return backfill_metadata_id(with_required_key(records))
+
+
 def metadata_events(log: DataFrame) -> DataFrame:
     """Typed metadata events with their log order, usable ones only (PRJ-5 to PRJ-7)."""
-    typed = decode(log, METADATA, LOG_ORDER)
-    return backfill_metadata_id(with_required_key(typed))
+    return usable(metadata_records(log)).drop("value")
+
+
+def rejected_metadata(records: DataFrame) -> DataFrame:
+    """The other records, with their text and the reason (SNK-7)."""
+    fields = F.coalesce(*[F.col(f).cast("string") for f in METADATA.fieldNames()])
+    reason = (
+        F.when(fields.isNull(), "malformed json")
+        .when(F.col("repo_name").isNull(), "missing repo_name")
+        .when(F.col("file_path").isNull(), "missing file_path")
+    )
+    rows = records.withColumn("reject_reason", reason).where("reject_reason IS NOT NULL")
+    return rows.select(*LOG_ORDER, "value", "reject_reason")
 
 
 def upsert_metadata(table: KeyedTable) -> Callable[[DataFrame, int], None]:
-    """Batch function: stamp, then replace by ``metadata_id`` (SNK-3)."""
+    """Batch function: stamp, then replace by ``metadata_id`` (SNK-3). Records that cannot be used are kept aside."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(stamp_ingestion(batch, batch_id), batch_id, LOG_ORDER)
+        if "value" not in batch.columns:
+            table.upsert(stamp_ingestion(batch, batch_id), batch_id, LOG_ORDER)
+            return
+        batch = batch.persist()
+        try:
+            rejected_metadata(batch).write.mode("overwrite").parquet(f"{table.rejects}/{batch_id}")
+            table.upsert(stamp_ingestion(usable(batch).drop("value"), batch_id), batch_id, LOG_ORDER)
+        finally:
+            batch.unpersist()
 
     return apply
 
@@ -102,7 +135,7 @@ def start(
 
 def start_metadata(log: DataFrame, table: KeyedTable, available_now: bool = False):
     """The metadata job (SS-1)."""
-    return start(metadata_events(log), upsert_metadata(table), table.checkpoint, available_now)
+    return start(metadata_records(log), upsert_metadata(table), table.checkpoint, available_now)
 
 
 class GraphStore:
@@ -116,16 +149,15 @@ class GraphStore:
         self.path = path.rstrip("/")
         self.repositories = KeyedTable(spark, f"{path}/repositories", GRAPH_REPOSITORY, ["name"])
         self.files = KeyedTable(spark, f"{path}/files", GRAPH_FILE, ["id"])
-        by_file = ["repo_name", "file_path"]
-        self.nodes = KeyedTable(spark, f"{path}/nodes", GRAPH_NODE, ["id"], by_file)
-        self.edges = KeyedTable(spark, f"{path}/edges", GRAPH_EDGE, ["id"], by_file)
+        self.nodes = FileTable(spark, f"{path}/nodes", GRAPH_NODE)
+        self.edges = FileTable(spark, f"{path}/edges", GRAPH_EDGE)
         self.rejects = f"{path}/rejects"
 
     def placeholders(self) -> DataFrame:
         return placeholders(self.nodes.read(), self.edges.read())
 
     @contextmanager
-    def _valid(self, batch: DataFrame, topic: str, batch_id: int) -> Iterator[DataFrame]:
+    def _valid(self, batch: DataFrame, topic: str, batch_id: int | str) -> Iterator[DataFrame]:
         """Valid events of a batch; rejected records go to a table of their own (SNK-7).
 
         Several tables are written from one batch, so its parsed rows are kept meanwhile.
@@ -140,25 +172,49 @@ class GraphStore:
         finally:
             checked.unpersist()
 
+    def _merge(self, batch: DataFrame, topic: str, batch_id: int, write: Callable[[DataFrame, DataFrame], None]) -> None:
+        """Hand the valid events of a batch and the files that it clears to ``write``.
+
+        A scope record clears what stands before it in the log, within the batch too (SS-6).
+        """
+        is_scope = F.col("topic") == SCOPES_TOPIC
+        with self._valid(batch.where(is_scope), SCOPES_TOPIC, f"{topic}-{batch_id}") as scopes:
+            cleared = scopes.groupBy(*FILE).agg(F.max(F.struct(*LOG_ORDER)).alias("_since")).persist()
+            try:
+                with self._valid(batch.where(~is_scope), topic, batch_id) as events:
+                    later = events.join(cleared, list(FILE), "left")
+                    later = later.where(F.col("_since").isNull() | (F.struct(*LOG_ORDER) > F.col("_since"))).drop("_since")
+                    write(later, cleared)
+            finally:
+                cleared.unpersist()
+
     def apply_nodes(self, batch: DataFrame, batch_id: int) -> None:
         """Merge node events: repository, file, node (SNK-4, DM-2)."""
-        with self._valid(batch, NODES_TOPIC, batch_id) as events:
-            self.nodes.upsert(graph_nodes(events, LOG_ORDER), batch_id, LOG_ORDER)
+
+        def write(events: DataFrame, cleared: DataFrame) -> None:
+            newest = latest_per_key(graph_nodes(events, LOG_ORDER), ["id"], LOG_ORDER)
+            self.nodes.apply(newest.drop(*LOG_ORDER), cleared)
             self.files.upsert(graph_files(events, LOG_ORDER), batch_id)
             self.repositories.upsert(graph_repositories(events), batch_id)
 
+        self._merge(batch, NODES_TOPIC, batch_id, write)
+
     def apply_edges(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge edge events (SNK-5, DM-3)."""
-        with self._valid(batch, EDGES_TOPIC, batch_id) as events:
-            self.edges.upsert(graph_edges(events, LOG_ORDER), batch_id, LOG_ORDER)
+        """Merge edge events (SNK-5, DM-3). A scope clears a file's own edges, whose ends are nodes of that file."""
+
+        def write(events: DataFrame, cleared: DataFrame) -> None:
+            newest = latest_per_key(graph_edges(events, LOG_ORDER), ["id"], LOG_ORDER)
+            self.edges.apply(newest.drop(*LOG_ORDER), cleared)
+
+        self._merge(batch, EDGES_TOPIC, batch_id, write)
 
     def delete_files(self, scope: DataFrame) -> DataFrame:
-        """Delete the nodes of files and their incident edges (DM-4), between two batches.
+        """Delete the nodes of files and all edges at them, from other files too (DM-4), between two batches.
 
         Returns the deleted nodes. What a later batch merges stays.
         """
-        gone = materialize(scope_nodes(self.nodes.read(), scope), "deleted")
-        self.edges.delete(incident_edges(self.edges.read(), gone))
+        gone = materialize(self.nodes.read_files(scope), "deleted")
+        self.edges.delete(materialize(incident_edges(self.edges.read(), gone), "deleted-edges"))
         self.nodes.delete(gone)
         return gone
 
@@ -166,7 +222,7 @@ class GraphStore:
 def start_graph(
     node_log: DataFrame, edge_log: DataFrame, store: GraphStore, available_now: bool = False
 ):
-    """The two graph jobs (SS-8)."""
+    """The two graph jobs (SS-8). Either log may hold scope records besides its own events."""
     nodes = start(node_log, store.apply_nodes, f"{store.path}/checkpoints/nodes", available_now)
     edges = start(edge_log, store.apply_edges, f"{store.path}/checkpoints/edges", available_now)
     return nodes, edges

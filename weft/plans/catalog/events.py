@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import identity as I
@@ -22,8 +23,8 @@ from weft.plans.adapters import (
     topic_events,
 )
 from weft.plans.catalog import query
-from weft.schemas import METADATA, METADATA_TOPIC
-from weft.sources.eventlog import event_json, sample_events, to_records
+from weft.schemas import CONTRACTS, EDGES_TOPIC, ERRORS_TOPIC, METADATA, METADATA_TOPIC, NODES_TOPIC
+from weft.sources.eventlog import event_json, route, sample_events, to_records
 from weft.sources.files import manifest
 from weft.jobs.stream_jobs import LOG_ORDER, metadata_events
 
@@ -312,13 +313,23 @@ def snk1(spark, sf_dir):
 
 @query(
     "snk2_topic_routing",
-    f"""WITH {TOPIC_EVENTS_SQL} SELECT topic, event_id AS "offset",
-      CASE WHEN topic = 'cpg.errors.v1' THEN repo_name || ':' || file_path ELSE identity END AS key
+    f"""WITH {TOPIC_EVENTS_SQL} SELECT topic, event_time,
+      CASE WHEN topic = 'cpg.errors.v1' THEN repo_name || ':' || file_path ELSE identity END AS key,
+      repo_name, file_path, status
     FROM topic_events""",
 )
 def snk2(spark, sf_dir):
-    key = F.coalesce("node_id", "edge_id", "metadata_id", I.file_key())
-    return topic_events(spark, sf_dir).select("topic", "offset", key.alias("key"))
+    """Events of all kinds as records, each behind the key of its topic; shown with fields of their JSON."""
+    rows = topic_events(spark, sf_dir)
+    kinds = {"nodes": NODES_TOPIC, "edges": EDGES_TOPIC, "metadata": METADATA_TOPIC, "errors": ERRORS_TOPIC}
+
+    def of(topic: str) -> DataFrame:
+        missing = [f for f in CONTRACTS[topic].fields if f.name not in rows.columns]
+        return rows.where(F.col("topic") == topic).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
+
+    records = route(**{kind: of(topic) for kind, topic in kinds.items()})
+    fields = ("event_time", "repo_name", "file_path", "status")
+    return records.select("topic", "key", *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields])
 
 
 @query(

@@ -14,6 +14,8 @@ NODES_TOPIC = "cpg.nodes.v1"
 EDGES_TOPIC = "cpg.edges.v1"
 METADATA_TOPIC = "cpg.metadata.v1"
 ERRORS_TOPIC = "cpg.errors.v1"
+# An own topic: files whose stored graph goes, in the order of the log.
+SCOPES_TOPIC = "weft.scopes.v1"
 EDGE_TYPES = ("AST", "CFG", "DFG", "CALL")
 
 
@@ -62,6 +64,7 @@ METADATA = T.StructType(
     ]
 )
 ERROR = T.StructType([*_ENVELOPE, _text("error_type"), _text("error_message"), _text("status", required=False)])
+SCOPE = T.StructType(_ENVELOPE)
 
 # Tables of the graph store.
 GRAPH_REPOSITORY = T.StructType([_text("name")])
@@ -108,6 +111,7 @@ CONTRACTS = {
     EDGES_TOPIC: EDGE,
     METADATA_TOPIC: METADATA,
     ERRORS_TOPIC: ERROR,
+    SCOPES_TOPIC: SCOPE,
 }
 DEFAULT_STATUS = {METADATA_TOPIC: "parsed", ERRORS_TOPIC: "failed"}
 

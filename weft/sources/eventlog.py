@@ -14,6 +14,7 @@ from weft.schemas import (
     LOG_ENVELOPE,
     METADATA_TOPIC,
     NODES_TOPIC,
+    SCOPES_TOPIC,
 )
 
 # Partitions per topic.
@@ -40,6 +41,7 @@ def route(**events_by_kind: DataFrame) -> DataFrame:
         "edges": EDGES_TOPIC,
         "metadata": METADATA_TOPIC,
         "errors": ERRORS_TOPIC,
+        "scopes": SCOPES_TOPIC,
     }
     parts = [to_records(df, topics[kind]) for kind, df in events_by_kind.items()]
     records = parts[0]
@@ -76,10 +78,10 @@ def read_log(spark: SparkSession, path: str, topic: str | None = None) -> DataFr
     return log if topic is None else log.where(F.col("topic") == topic)
 
 
-def stream_log(spark: SparkSession, path: str, topic: str, **options: str) -> DataFrame:
-    """A file log as a stream from its beginning; other topics' folders are not read."""
+def stream_log(spark: SparkSession, path: str, *topics: str, **options: str) -> DataFrame:
+    """Topics of a file log as a stream from its beginning; other topics' folders are not read."""
     reader = spark.readStream.schema(LOG_ENVELOPE).options(**options)
-    return reader.parquet(path).where(F.col("topic") == topic)
+    return reader.parquet(path).where(F.col("topic").isin(*topics))
 
 
 def stream_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
