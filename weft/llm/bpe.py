@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import models
 
+from weft.llm.arrow import parts
+
 # Characters that the rank files' pattern calls white space (Unicode White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 # Pieces remembered by one worker.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 # The tokens' bytes are gathered in steps of so many ids, so that memory stays bounded.
 _DECODE_IDS = 1 << 20
 
@@ -106,14 +108,14 @@ class ByteBpe:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens; characters whose bytes lie in several tokens become whole again."""
-        parts = []
+        pieces = []
         for begin in range(0, len(ids), _DECODE_IDS):
             part = ids[begin : begin + _DECODE_IDS].astype(np.int64)
             lengths = self.lengths[part]
             ends = np.cumsum(lengths)
             shift = np.repeat(self.starts[part] - (ends - lengths), lengths)
-            parts.append(self.table[shift + np.arange(len(shift))].tobytes())
-        return b"".join(parts)
+            pieces.append(self.table[shift + np.arange(len(shift))].tobytes())
+        return b"".join(pieces)
 
 
 @functools.cache
@@ -127,7 +129,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in source:
+        for batch in parts(source):
             found = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
             ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
@@ -144,7 +146,7 @@ def encode_with_offsets(docs: DataFrame, path: str, key: str = "doc_id", text: s
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in source:
+        for batch in parts(source):
             found = [[dict(zip(("id", "start", "end"), t)) for t in bpe.offsets(text)] for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(token))], ["id", "tokens"])
 
@@ -165,7 +167,7 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in source:
+        for batch in parts(source):
             found = [bpe.decode(x) for x in _lists(batch.column(1))]
             shown = pa.array([f.decode("utf-8", "replace") for f in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), shown], ["id", "bytes", "text"])
@@ -180,7 +182,7 @@ def digests(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in source:
+        for batch in parts(source):
             counts, of_ids, of_bytes = [], [], []
             for x in _lists(batch.column(1)):
                 counts.append(len(x))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.arrow import parts
+
 ERROR_RATE = 0.08
 MIN_CHARS = 24
 SLICE_CHARS = 4_000_000
@@ -139,7 +141,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> Data
 def _adding(part: list[tuple[int, str]], rate: float):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items(part, rate)
-        for batch in source:
+        for batch in parts(source):
             found = [
                 before + [{"item_id": k, "distance": d, "end": e} for i, d, e in known.find(text) for k in known.ids[i]]
                 for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
@@ -163,7 +165,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFr
     def without(part: list[tuple[int, str]]):
         def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Items(part, rate)
-            for batch in source:
+            for batch in parts(source):
                 texts = batch.column(at).fill_null("").to_pylist()
                 yield batch.filter(pa.array([not known.find(text) for text in texts], pa.bool_()))
 

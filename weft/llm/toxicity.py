@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import words
+from weft.llm.arrow import parts
 from weft.llm.labelled import sample
 from weft.session import materialize
 
@@ -64,7 +65,7 @@ def term_sets(docs: DataFrame) -> DataFrame:
     """(label, terms): the distinct word hashes of each row."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in parts(source):
             sets = [np.unique(found[a:b]) for found, first in _terms(batch.column(1)) for a, b in zip(first[:-1], first[1:])]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = MAX_EXAM
     )
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in parts(source):
             found = [vectors.of(f[a:b]) for f, first in _terms(batch.column(2)) for a, b in zip(first[:-1], first[1:])]
             places = pa.array([p.tolist() for p, _ in found], pa.list_(pa.int32()))
             weights = pa.array([w.tolist() for _, w in found], pa.list_(pa.float64()))
@@ -271,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, index = Scorer(model), model.index
-        for batch in source:
+        for batch in parts(source):
             scores, evidence = [], []
             for value, near, similar in scorer(batch.column(1)):
                 scores.append(value)
@@ -295,7 +296,7 @@ def below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in source:
+        for batch in parts(source):
             texts = batch.column(at).fill_null("")
             yield batch.filter(pa.array([value < limit for value, _, _ in scorer(texts)], pa.bool_()))
 
