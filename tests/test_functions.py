@@ -8,6 +8,7 @@ from weft.functions import identity as I
 from weft.functions import text as X
 from weft.schemas import EDGE, ERROR, METADATA, NODE, required_fields
 
+# Captured inputs and the identities they must give.
 REPO, FILE = "accelerate", "benchmarks/big_model_inference/big_model_inference.py"
 
 
@@ -113,3 +114,14 @@ def test_contract_fields():
 def test_is_json_beyond_16_mib(spark):
     rows = spark.range(1).select(F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 20 << 20), F.lit('"}')).alias("t"))
     assert rows.select(X.is_json(F.col("t")), X.is_json(F.concat("t", F.lit(" y")))).first() == (True, False)
+
+
+def test_packed_identities_stay_different(spark):
+    digest = hashlib.sha256(b"x").hexdigest()
+    ids = [digest, digest.upper(), digest[:-1], "", "a", "ab", "AB", "0a", "\x0a", "\n", "g1", "\u00e9", "01ab", "zz" * 40]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").withColumn("p", I.packed(F.col("id")))
+    got = rows.select("id", "p", I.unpacked(F.col("p")).alias("back")).collect()
+    assert all(r.id == r.back for r in got)
+    assert len({bytes(r.p) for r in got}) == len(set(ids))
+    assert {r.id: len(r.p) for r in got}[digest] == 33
+    assert one(spark, I.packed(F.lit(None).cast("string"))) is None

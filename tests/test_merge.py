@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from golden import BASELINE, HASHES, MODIFIED
 from weft.operators import graph as G
 from weft.operators import merge as M
+from weft.operators import rollup as R
 from weft.plans import reports as V
 from weft.plans.build import build
 
@@ -132,3 +133,22 @@ def test_graph_health(states, spark):
 
 def test_one_file_counts_of_an_absent_file(states):
     assert tuple(G.one_file_counts(*states["old"], "example", "absent.py").first()) == (0, 0)
+
+
+def test_duplicates_are_counted_by_hash_first(spark):
+    """Clean tables move hashes only; repeated keys, hashes that collide and null keys give exact counts."""
+    rows = [(f"k{i}", i % 7) for i in range(200)]
+    clean = spark.createDataFrame(rows, "k string, v int")
+    assert R.duplicate_groups(clean, ["k"]).collect() == []
+    assert R.duplicate_summary(clean, ["k"], "n").first().n == 0
+    dirty = clean.unionByName(clean.where("v = 3")).unionByName(spark.createDataFrame([(None, 1)] * 3, "k string, v int"))
+    got = {r.k: r["count"] for r in R.duplicate_groups(dirty, ["k"]).collect()}
+    assert got == {k: 2 for k, v in rows if v == 3}
+    assert R.duplicate_summary(dirty, ["k", "v"], "n").first().n == len(got) + 1
+
+
+def test_placeholders_of_any_ids(spark):
+    edges = spark.createDataFrame([("a", "0a"), ("0A", "0a"), ("b" * 64, "a"), (None, "x y")], "source_id string, target_id string")
+    nodes = spark.createDataFrame([("0a",), ("c" * 64,)], "id string")
+    found = {r.id for r in M.placeholders(nodes, edges).collect() if r.id is not None}
+    assert found == {"a", "0A", "b" * 64, "x y"}

@@ -78,3 +78,17 @@ def metadata_id(repo: str = "repo_name", file: str = "file_path") -> Column:
 def file_key(repo: str = "repo_name", file: str = "file_path") -> Column:
     """``repo:file``, the key of a source file and of an error event."""
     return F.concat_ws(":", repo, file)
+
+
+def packed(identity: Column) -> Column:
+    """An identity as bytes: half as many for lower-case hex digits, as hashes have. Different ones stay different."""
+    halved = F.unhex(identity)
+    fits = halved.isNotNull() & (F.length(halved) * 2 == F.length(identity)) & (F.lower(identity) == identity)
+    whole = F.concat(F.lit(bytearray(b"\x00")), identity.cast("binary"))
+    return F.when(fits, F.concat(F.lit(bytearray(b"\x01")), halved)).otherwise(whole)
+
+
+def unpacked(identity: Column) -> Column:
+    """What :func:`packed` was given."""
+    rest = F.substring(identity, 2, 1 << 30)
+    return F.when(F.hex(F.substring(identity, 1, 1)) == "01", F.lower(F.hex(rest))).otherwise(rest.cast("string"))

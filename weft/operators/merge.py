@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.identity import file_key
+from weft.functions.identity import file_key, packed, unpacked
 
 FILE = ("repo_name", "file_path")
 
@@ -83,19 +83,16 @@ def graph_repositories(node_events: DataFrame) -> DataFrame:
     return node_events.select(F.col("repo_name").alias("name")).distinct()
 
 
-def endpoints(edges: DataFrame) -> DataFrame:
-    """Every node id some edge refers to, once."""
-    return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-
-
 def placeholders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Endpoints no node event has filled yet (JN-6, DM-3).
+    """Endpoints no node event has filled yet (JN-6, DM-3), each once.
 
     A view, not stored rows: a merged node leaves it, and the node and edge streams never
-    write the same table.
+    write the same table. Ids are packed, since that is what the shuffles move.
     """
-    missing = endpoints(edges).join(nodes.select("id"), "id", "left_anti")
-    return missing.withColumn("placeholder", F.lit(True))
+    ends = F.explode(F.array(packed(F.col("source_id")), packed(F.col("target_id"))))
+    there = nodes.select(packed(F.col("id")).alias("_end"))
+    missing = edges.select(ends.alias("_end")).distinct().join(there, "_end", "left_anti")
+    return missing.select(unpacked(F.col("_end")).alias("id"), F.lit(True).alias("placeholder"))
 
 
 def scope_nodes(nodes: DataFrame, scope: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ _TWICE = "SELECT node_id FROM nodes UNION ALL SELECT node_id FROM nodes WHERE no
 
 def _calls_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with a fault: every call is there twice."""
-    nodes = token_nodes(spark, sf_dir).select("node_id", "node_type")
+    nodes = materialize(token_nodes(spark, sf_dir).select("node_id", "node_type"), "tokens")
     return nodes.unionAll(nodes.where("node_type = 'Call'"))
 
 
