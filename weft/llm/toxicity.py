@@ -121,31 +121,32 @@ class BlockMaxIndex:
         self.all = np.array([e[3] for e in self.entries], dtype=np.float64)
         self.id = np.array([e[4] for e in self.entries], dtype=np.int64)
         self.most = np.zeros((terms, self.blocks))
-        postings: dict[int, list[tuple[int, float]]] = {}
+        lists: list[list[tuple[int, int, float]]] = [[] for _ in range(self.blocks)]
         for i, (places, weights, *_) in enumerate(self.entries):
             for t, w in zip(places, weights):
-                postings.setdefault(int(t), []).append((i, w))
+                lists[i // BLOCK].append((int(t), i % BLOCK, float(w)))
                 self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
-        self.postings = {}
-        for t, found in postings.items():
-            where = np.array([i for i, _ in found])
-            self.postings[t] = where, np.array([w for _, w in found]), np.searchsorted(where, np.arange(self.blocks + 1) * BLOCK)
+        # Each block's inverted lists, term after term.
+        self.lists = []
+        for found in lists:
+            term, entry, weight = zip(*sorted(found)) if found else ((), (), ())
+            self.lists.append((np.array(term, np.int32), np.array(entry, np.int32), np.array(weight, float)))
 
     def search(self, places: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(entries, similarities) of the nearest entries that hold ``k`` examples, ties with the last included."""
         if not len(places) or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
         bound = weights @ self.most[places]
+        asked = np.zeros(len(self.most))
+        asked[places] = weights
         found, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for block in np.argsort(-bound, kind="stable"):
             if bound[block] <= 0 or bound[block] < least - 1e-9:
                 break
-            own = np.zeros(BLOCK)
-            for t, q in zip(places, weights):
-                if self.most[t, block] > 0:
-                    where, w, cuts = self.postings[int(t)]
-                    part = slice(cuts[block], cuts[block + 1])
-                    own[where[part] - block * BLOCK] += q * w[part]
+            term, entry, weight = self.lists[block]
+            own = np.bincount(entry, asked[term] * weight, BLOCK)
+            if own.max() < least - 1e-9:
+                continue
             hit = np.flatnonzero(own > 0)
             found, score = np.concatenate([found, hit + block * BLOCK]), np.concatenate([score, own[hit]])
             order = np.argsort(-score, kind="stable")
