@@ -118,6 +118,7 @@ def test_samples(spark, tmp_path):
 
 def test_run_log_reports(spark, tmp_path):
     log = tmp_path / "run.log"
+    # Lines in the form that run logs have.
     log.write_text(
         "Discovered 3 Python files\n"
         "\x1b[32mINFO\x1b[0m Parsed  a/b.py:   nodes=10 edges=18 metadata=1\n"

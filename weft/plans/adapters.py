@@ -114,7 +114,7 @@ raw_nodes AS (
   FROM lines
   UNION ALL
   SELECT repo_name, file_path, file_hash, 'Module', NULL, NULL, 'module', 0, 0, 0, 0 FROM texts),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT repo_name, file_path, file_hash, node_type, name,
          CASE WHEN node_type = 'Name' THEN CASE WHEN tok LIKE '%,' THEN 'Store' ELSE 'Load' END END
            AS ctx,
@@ -460,7 +460,7 @@ code_lines AS (
   FROM code_texts),
 code_words AS (
   SELECT *, list_filter(string_split(line, ' '), lambda w : w <> '') AS words FROM code_lines),
-statements AS (
+statements AS MATERIALIZED (
   SELECT repo_name, file_path, broken, doc_id, l,
          'v' || regexp_replace(words[1], '[^A-Za-z0-9]', '', 'g') AS a,
          'v' || regexp_replace(words[-1], '[^A-Za-z0-9]', '', 'g') AS b,
@@ -468,14 +468,14 @@ statements AS (
               WHEN line LIKE '%.' THEN 'call' WHEN regexp_matches(line, '^[A-Z]') THEN 'def'
               ELSE 'assign' END AS form
   FROM code_words),
-code_sources AS (
+code_sources AS MATERIALIZED (
   SELECT repo_name, file_path, broken, count(*)::INT AS line_count,
          min(CASE WHEN form = 'bad' THEN l END) AS bad_line,
          sha256(string_agg(CASE form WHEN 'bad' THEN 'v v' WHEN 'pass' THEN 'pass'
            WHEN 'call' THEN b || '(' || a || ')' WHEN 'def' THEN 'def ' || b || '(' || a || '): pass'
            ELSE a || ' = ' || b END || chr(10), '' ORDER BY l)) AS file_hash
   FROM statements GROUP BY ALL),
-shapes AS (
+shapes AS MATERIALIZED (
   SELECT *, 'module.body[' || (l - 1) || ']' AS p, length(a)::INT AS na, length(b)::INT AS nb
   FROM statements WHERE NOT broken),
 code_raw AS (
@@ -514,7 +514,7 @@ code_raw AS (
     l, na + 3, l, na + nb + 3 FROM shapes WHERE form = 'assign'
   UNION ALL SELECT repo_name, file_path, 'Load', NULL, NULL, p || '.value.ctx', p || '.value',
     0, 0, 0, 0 FROM shapes WHERE form = 'assign'),
-code_nodes AS (
+code_nodes AS MATERIALIZED (
   SELECT r.*, s.file_hash,
          sha256('{"col_offset":' || col_offset || ',"end_col_offset":' || end_col_offset
            || ',"end_lineno":' || end_lineno || ',"file_path":"' || r.file_path || '","lineno":'
