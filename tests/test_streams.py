@@ -320,6 +320,23 @@ def test_bad_records_are_kept_aside(spark, sources, tmp_path):
     assert {r.reject_reason for r in rejected.collect()} == {"bad edge_type", "malformed json"}
 
 
+def test_placeholders_come_and_go(spark, sources, tmp_path):
+    """Edges first, half of the nodes, all events again, then the other half: every id is reported and resolved once."""
+    full, log, out = (str(tmp_path / name) for name in ("full", "log", "out"))
+    publish(sources, full, {"a.py": MODIFIED})
+    nodes, edges = (read_log(spark, full, topic) for topic in (NODES_TOPIC, EDGES_TOPIC))
+    half = F.col("offset") % 2 == 0
+    seen = []
+    for part in (edges, nodes.where(half), edges.unionByName(nodes.where(half)), nodes.where(~half)):
+        part.write.mode("append").partitionBy("topic").parquet(log)
+        J.start_placeholders(stream_log(spark, log, NODES_TOPIC, EDGES_TOPIC), out, available_now=True).awaitTermination()
+        seen.append(sorted((r.change, r.id) for r in spark.read.parquet(f"{out}/changes").collect()))
+    ids = sorted(json.loads(r.value)["node_id"] for r in nodes.collect())
+    assert seen[0] == [("placeholder", i) for i in ids]
+    assert len(seen[1]) == len(ids) + nodes.where(half).count() and seen[2] == seen[1]
+    assert seen[3] == [("placeholder", i) for i in ids] + [("resolved", i) for i in ids]
+
+
 def test_document_store_options():
     options = J.DOCUMENT_UPSERT_OPTIONS
     assert options["idFieldList"] == "metadata_id"

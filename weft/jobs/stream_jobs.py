@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weft.operators.contract import (
     backfill_metadata_id,
@@ -226,3 +228,42 @@ def start_graph(
     nodes = start(node_log, store.apply_nodes, f"{store.path}/checkpoints/nodes", available_now)
     edges = start(edge_log, store.apply_edges, f"{store.path}/checkpoints/edges", available_now)
     return nodes, edges
+
+
+def _resolve(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What becomes of one id: whether its node was seen, and whether it was reported as a placeholder."""
+    node, reported = state.get if state.exists else (False, False)
+    for part in parts:
+        node = node or bool(part["is_node"].any())
+    change = None
+    if node and reported:
+        change, reported = "resolved", False
+    elif not node and not reported:
+        change, reported = "placeholder", True
+    state.update((node, reported))
+    if change:
+        yield pd.DataFrame({"id": [key[0]], "change": [change]})
+
+
+def placeholder_changes(graph_log: DataFrame) -> DataFrame:
+    """Placeholders as they come and go (JN-6, SS-5): (id, change) of a log with node and edge events.
+
+    An end of an edge whose node no batch has brought yet is a ``placeholder``; when its node comes, it is
+    ``resolved``. One flag pair per id is kept as state, partitioned by id; ends and nodes of a batch may arrive in
+    any order, and an end that follows its node gives nothing.
+    """
+    text = F.col("value").cast("string")
+    is_node = F.col("topic") == NODES_TOPIC
+    ends = F.array(F.get_json_object(text, "$.source_id"), F.get_json_object(text, "$.target_id"))
+    ids = F.when(is_node, F.array(F.get_json_object(text, "$.node_id"))).otherwise(ends)
+    rows = graph_log.where(F.col("topic").isin(NODES_TOPIC, EDGES_TOPIC)).select(is_node.alias("is_node"), F.explode(ids).alias("id"))
+    named = rows.where("id IS NOT NULL").groupBy("id")
+    shape, kept = "id string, change string", "node boolean, reported boolean"
+    return named.applyInPandasWithState(_resolve, shape, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def start_placeholders(graph_log: DataFrame, path: str, available_now: bool = False):
+    """Append the changes of placeholders below ``path``, with a checkpoint beside them."""
+    writer = placeholder_changes(graph_log).writeStream.format("parquet").outputMode("append")
+    writer = writer.option("path", f"{path}/changes").option("checkpointLocation", f"{path}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
