@@ -55,9 +55,19 @@ def validate(log: DataFrame, topic: str) -> DataFrame:
     broken = F.col("value").isNull() | (F.col(_UNREAD).isNotNull() & nothing_read)
     reason = F.when(broken, "malformed json").otherwise(reject_reason(schema))
     typed = typed.withColumn("reject_reason", reason).drop(_UNREAD)
-    if topic in DEFAULT_STATUS:
-        typed = typed.withColumn("status", F.coalesce("status", F.lit(DEFAULT_STATUS[topic])))
-    return typed
+    return with_default_status(typed, topic)
+
+
+def with_default_status(events: DataFrame, topic: str) -> DataFrame:
+    """The status that events of the topic have where they state none (PRJ-15)."""
+    if topic not in DEFAULT_STATUS:
+        return events
+    return events.withColumn("status", F.coalesce("status", F.lit(DEFAULT_STATUS[topic])))
+
+
+def name_of(*columns: str) -> Column:
+    """The first of the columns that is there, else empty (PRJ-15)."""
+    return F.coalesce(*columns, F.lit(""))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

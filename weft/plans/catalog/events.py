@@ -165,9 +165,8 @@ def prj14_focus(spark, sf_dir):
     coalesce(status, 'parsed') AS status FROM topic_events""",
 )
 def prj15(spark, sf_dir):
-    name = F.coalesce("node_type", "edge_type", "status", F.lit(""))
-    rows = topic_events(spark, sf_dir)
-    return rows.select("offset", name.alias("name"), F.coalesce("status", F.lit("parsed")).alias("status"))
+    rows = topic_events(spark, sf_dir).withColumn("name", C.name_of("node_type", "edge_type", "status"))
+    return C.with_default_status(rows, METADATA_TOPIC).select("offset", "name", "status")
 
 
 @query(
