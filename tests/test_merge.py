@@ -152,3 +152,25 @@ def test_placeholders_of_any_ids(spark):
     nodes = spark.createDataFrame([("0a",), ("c" * 64,)], "id string")
     found = {r.id for r in M.placeholders(nodes, edges).collect() if r.id is not None}
     assert found == {"a", "0A", "b" * 64, "x y"}
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_only_files_that_differ_are_compared(spark, monkeypatch, sent):
+    monkeypatch.setattr(M, "SENT_FILES", sent)
+    shape = "id string, repo_name string, file_path string, v int"
+    rows = [(f"{f}/{i}", "r", f"f{f}", i) for f in range(20) for i in range(10)]
+    old = spark.createDataFrame(rows, shape).repartition(3)
+    # One file lost a row, one got one, one is new, one is gone, one swapped a row; one has its rows in another order.
+    changed = [r for r in rows if r[0] not in ("3/4", "8/1") and r[2] != "f5"]
+    changed += [("4/x", "r", "f4", 0), ("99/0", "r", "f99", 0), ("8/y", "r", "f8", 1)]
+    new = spark.createDataFrame(changed[::-1], shape)
+    left, right = M.differing(old, new)
+    assert {r.file_path for r in left.collect()} == {"f3", "f4", "f5", "f8"}
+    assert {r.file_path for r in right.collect()} == {"f3", "f4", "f8", "f99"}
+    stale = {r.id for r in M.stale_rows(old, new).collect()}
+    assert stale == {"3/4", "8/1", *(f"5/{i}" for i in range(10))}
+    drift = {(r.id, r.in_first) for r in V.identity_drift(old, new).collect()}
+    assert drift == {(i, True) for i in stale} | {("4/x", False), ("99/0", False), ("8/y", False)}
+    if sent:
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.identity import file_key, packed, unpacked
+from weft.session import materialize
 
 FILE = ("repo_name", "file_path")
 
@@ -153,6 +154,36 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+#: So many changed files are sent to the rows; more are joined by a shuffle.
+SENT_FILES = 100_000
+
+
+def file_digests(rows: DataFrame, key: str = "id") -> DataFrame:
+    """A digest of the keys of each file that no order changes: their number, and sums over two 64-bit hashes by halves."""
+    hashes = [F.xxhash64(F.col(key)), F.xxhash64(F.col(key), F.lit(1))]
+    halves = [half for h in hashes for half in (F.shiftright(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
+    sums = [F.sum(half).alias(f"s{i}") for i, half in enumerate(halves)]
+    return rows.groupBy(*FILE).agg(F.count("*").alias("n"), *sums)
+
+
+def differing(old: DataFrame, new: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The rows of both states that belong to files whose keys are not the same in both.
+
+    Only digests are shuffled, one row per file. Rows of unchanged files go no further than their scan. Every row names its file.
+    """
+    sides = [file_digests(rows, key).select(*FILE, F.struct("n", "s0", "s1", "s2", "s3").alias("digest")) for rows in (old, new)]
+    both = sides[0].unionByName(sides[1]).groupBy(*FILE)
+    both = both.agg(F.count("*").alias("sides"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+    changed = materialize(both.where("sides = 1 OR least <> most").select(*FILE), "changed-files")
+    if changed.limit(SENT_FILES + 1).count() <= SENT_FILES:
+        changed = F.broadcast(changed)
+    return tuple(rows.join(changed, list(FILE), "left_semi").select(*rows.columns) for rows in (old, new))
+
+
 def stale_rows(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of the old state whose identity the new state no longer has (ST-5)."""
+    """Rows of the old state whose identity the new state no longer has (ST-5), out of the files that differ.
+
+    An identity belongs to one file for ever.
+    """
+    old, new = differing(old, new, key)
     return old.join(new.select(key), key, "left_anti").select(*old.columns)

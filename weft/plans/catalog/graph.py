@@ -415,6 +415,5 @@ def vr2(spark, sf_dir):
 @query("vr7_identity_drift", f"{_WITH} SELECT node_id AS id, true AS in_first FROM nodes WHERE node_type = 'Call'")
 def vr7(spark, sf_dir):
     """Two runs over the same content, the second without its calls: only those drift."""
-    first = _store_nodes(token_nodes(spark, sf_dir))
-    second = _store_nodes(token_nodes(spark, sf_dir).where("node_type <> 'Call'"))
-    return V.identity_drift(first, second)
+    tokens = materialize(token_nodes(spark, sf_dir), "tokens")
+    return V.identity_drift(_store_nodes(tokens), _store_nodes(tokens.where("node_type <> 'Call'")))
