@@ -56,6 +56,12 @@ def test_metadata_and_report(built):
     assert report == {name: (g[1], sum(g[2:]), 1) for name, g in GRAPHS.items()}
 
 
+def test_counts_come_with_the_tables(built):
+    """Nothing is scanned again for the summary of a run."""
+    nodes, edges = built.nodes.count(), built.edges.count()
+    assert built.seen == {"successful": len(GRAPHS), "failed": len(BROKEN), "nodes": nodes, "edges": edges}
+
+
 def test_jvm_identity_equals_extracted_identity(built):
     assert built.nodes.where(node_id() != F.col("node_id")).count() == 0
 
