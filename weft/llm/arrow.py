@@ -10,7 +10,9 @@ PART_ROWS = 512
 
 
 def parts(source: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows, at most ``rows`` together; nothing is copied."""
+    """The same rows, at most ``rows`` together; nothing is copied. Memory that a batch has freed goes back to the system."""
     for batch in source:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
