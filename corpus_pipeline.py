@@ -16,16 +16,25 @@ from weft.session import materialize
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: A document at least this likely to be toxic goes.
 TOXIC = 0.7
+#: Rows of an Arrow batch, in place of Spark's 10,000: whole texts are long, and JVM and worker both hold a batch.
+BATCH_ROWS = "1000"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Set the size of Arrow batches for the session that runs the stages."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled examples do not call them toxic."""
+    bounded(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.below(docs, toxicity.fit(docs, labels, F.lit(True)), TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; repeated rows are one. Rows without an id stay."""
+    bounded(spark)
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     named = docs.filter("doc_id is not null").join(kept, docs.doc_id == F.col("_id"), "left_semi").dropDuplicates()
     return named.union(docs.filter("doc_id is null"))
@@ -33,6 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    bounded(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -47,6 +57,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
+    bounded(spark)
     return bpe.digests(bpe.encode(docs, VOCABULARY), VOCABULARY)
 
 
