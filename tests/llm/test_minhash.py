@@ -77,3 +77,26 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, 400: 7, **{i: 7 for i in range(200, 300)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_edited_copies_below_the_limit_are_not_compared_all_with_all(spark, monkeypatch):
+    """Copies at 0.6 to 0.95 of their source, a few of them edited again: the links among those below the limit are found by few comparisons."""
+    random.seed(11)
+    vocabulary = [f"v{i}" for i in range(60)]
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(source, edits):
+        other = list(source)
+        for at in random.sample(range(len(other)), edits):
+            other[at] = random.choice(vocabulary)
+        return other
+
+    copies = [edited(base, random.choice([2, 3, 5, 7, 9, 12, 14, 16])) for _ in range(400)]
+    copies += [edited(c, 3) for c in copies[:40]]
+    texts = {i: " ".join(t) for i, t in enumerate([base, *copies])}
+    asked = []
+    compare = minhash._compare
+    monkeypatch.setattr(minhash, "_compare", lambda sets, pairs: asked.append(pairs.count()) or compare(sets, pairs))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert result(minhash.near_duplicates(docs, 2)) == expected(texts, 2, 80)
+    assert len(asked) == 2 and asked[1] < 5 * len(texts)

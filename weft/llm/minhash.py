@@ -7,9 +7,9 @@ largest one. Bands of values select candidates, full shingle sets confirm them.
 * A shingle that one node alone holds is shared with nobody. So the numbers of common shingles bound the similarity
   of every pair from above, without its sets; pairs below the limit are never formed.
 * Within a band's bucket every node is compared with one leader only, the node with the largest share of common
-  shingles, never all with all. Links give components. Nodes of a bucket that are still in different
-  components are compared afterwards, except pairs that the bound or the triangle inequality of the Jaccard distance
-  (both distances to the leader are known) rule out. So a bucket loses no link between different components.
+  shingles, never all with all. Links give components. Nodes of one leader that are still in different
+  components can only be linked if they have enough of their differences from the leader in common; those differences are joined,
+  the rare ones first and no more of them than needed. So a bucket loses no link between different components.
 * A pair of similarity s shares no band with probability (1 - s**rows)**bands: 3e-6 at 0.8 with the
   defaults of 24 bands of 4 values.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm import words
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     links = compared.filter(linked).select("a", "b")
     found = materialize(components(links), "components")
 
-    rest = materialize(_rest(members.filter("size > 2"), compared, found, fits, percent), "rest")
+    rest = materialize(_rest(members.filter("size > 2"), compared, found, sets, fits, percent), "rest")
     if not rest.isEmpty():
         links = links.union(_compare(sets, rest).filter(linked).select("a", "b"))
         found = materialize(components(links), "components")
@@ -200,22 +200,57 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     )
 
 
-def _rest(members: DataFrame, compared: DataFrame, found: DataFrame, fits, percent: int) -> DataFrame:
-    """Pairs (a, b) of buckets whose nodes lie in several components that may still be links."""
-    distance = (1 - F.col("shared") / F.col("union")).alias("distance")
-    ends = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), distance).union(compared.select("b", "a", distance))
-    known = _mixed(members.filter("id <> leader"), found).join(ends, ["id", "leader"], "left")
-    # Not compared with the leader because of the sizes: the distance is at least this.
-    bound = F.lit(1.0) - F.least("n", "n_lead") / F.greatest("n", "n_lead")
-    known = known.withColumn("low", F.coalesce("distance", bound)).withColumn("high", F.coalesce("distance", F.lit(1.0)))
-    open_ = known.select("bucket", "id", "n", "common", "component", "low", "high")
-    a, b = open_.alias("a"), open_.alias("b")
-    reach = 1 - percent / 100 + 1e-9
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` (leader, id, ...) with ``differences``: the shingles that only one of the node and its leader has."""
+    kept = members.columns
+    own, lead = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("id", "leader"))
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(source):
+            found = []
+            for x, y in zip(batch.column(0), batch.column(1)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                found.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            bounds = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], lists], [*kept, "differences"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in members.dtypes)
+    return members.join(own, "id").join(lead, "leader").select("set_id", "set_leader", *kept).mapInArrow(batches, f"{schema}, differences array<bigint>")
+
+
+def _rest(members: DataFrame, compared: DataFrame, found: DataFrame, sets: DataFrame, fits, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes with one leader in several components that may still be links.
+
+    With x and y the differences of two nodes from their leader, and o those they have in common, the nodes differ in x + y - 2 o
+    shingles. So a link needs 2 * (100 + percent) * o >= the sum of both weights, (100 + percent) * x - (100 - percent) * n each.
+    The sum is positive unless both nodes are linked to the leader, which puts them in one component. Differences are ordered from rare
+    to frequent; nodes with o of them in common share one of the first x - o + 1 of each, and have o - 1 more to come behind the first.
+    """
+    linked = F.expr(f"100 * shared >= {percent} * union").alias("linked")
+    ends = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), linked).union(compared.select("b", "a", linked))
+    known = _mixed(members.filter("id <> leader"), found).select("leader", "id", "n", "common", "component").distinct()
+    # Not compared with the leader because of the sizes: no link.
+    known = known.join(ends, ["id", "leader"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    known = _differences(known, sets).withColumn("size", F.size("differences"))
+    known = materialize(known.withColumn("weight", F.expr(f"{100 + percent} * size - {100 - percent} * n")), "differences")
+    least = known.groupBy("leader").agg(F.min("weight").alias("least"), F.min(F.when(~F.col("linked"), F.col("weight"))).alias("least_apart"))
+    other = F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))
+    needed = F.greatest(F.lit(1), F.ceil((F.col("weight") + other) / (2 * (100 + percent))))
+    each = known.join(least.filter("least_apart is not null"), "leader").withColumn("needed", needed).filter("needed <= size")
+    each = each.withColumn("difference", F.explode("differences")).drop("differences")
+    holders = each.groupBy("leader", "difference").agg(F.count("*").alias("holders")).filter("holders > 1")
+    own = Window.partitionBy("leader", "id")
+    # Differences of one node alone come first, and are not joined.
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "difference"))
+    placed = each.join(holders, ["leader", "difference"]).withColumn("place", place).filter("place <= size - needed + 1")
+    placed = materialize(placed.drop("least", "least_apart", "needed", "holders"), "differences-placed")
+    a, b = placed.alias("a"), placed.alias("b")
     pairs = a.join(
         b,
         F.expr(
-            "a.bucket = b.bucket and a.id < b.id and a.component <> b.component "
-            f"and {fits('a.{}', 'b.{}')} and a.low - b.high <= {reach} and b.low - a.high <= {reach}"
+            "a.leader = b.leader and a.difference = b.difference and a.id < b.id and a.component <> b.component and not (a.linked and b.linked) "
+            f"and {2 * (100 + percent)} * (1 + least(a.size - a.place, b.size - b.place)) >= a.weight + b.weight and {fits('a.{}', 'b.{}')}"
         ),
     )
     asked = pairs.select(F.col("b.id").alias("a"), F.col("a.id").alias("b")).distinct()
