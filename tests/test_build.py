@@ -171,3 +171,16 @@ def test_published_records(spark, sources, tmp_path):
     # Null fields stay in the JSON.
     assert any(event["name"] is None for _, event in by_topic["cpg.nodes.v1"])
     assert len({r.offset for r in log}) == len(log)
+
+
+def test_ids_are_neither_written_nor_moved(sources, monkeypatch):
+    """One table is written, without ids, and edges are linked behind one exchange that carries none."""
+    from weft.plans import build as module
+
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda df, label: written.append(df.columns) or materialize(df, label))
+    run = build(sources({n: g[0] for n, g in GRAPHS.items()}))
+    assert len(written) == 1 and not {"node_id", "parent_id"} & set(written[0])
+    plan = run.edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "sha2" in plan[: plan.index("Exchange")] and "sha2" not in plan[plan.index("Exchange") :]

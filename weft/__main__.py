@@ -53,8 +53,8 @@ def parse(spark: SparkSession, args: argparse.Namespace) -> int:
     _show_all(run.report().orderBy("file_path"))
     _show_all(run.errors.select("file_path", "error_type", "error_message").orderBy("file_path"))
     # Fixed value: a line that run-log reports look for.
-    print(f"Finished: successful={run.seen['successful']} failed={run.seen['failed']}")
-    return 3 if args.file and not run.seen["successful"] else 0
+    print(f"Finished: successful={run.parsed['successful']} failed={run.parsed['failed']}")
+    return 3 if args.file and not run.parsed["successful"] else 0
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
