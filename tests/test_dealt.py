@@ -66,3 +66,64 @@ def test_the_call_graph_is_not_written(spark, name, monkeypatch):
     monkeypatch.setattr(session, "materialize", refuse)
     monkeypatch.setattr(catalog, "materialize", refuse, raising=False)
     assert entry.queries()[name](spark, SF_DIR).columns
+
+
+def by_file(*tables):
+    return [df.repartition(3, *M.FILE) for df in tables]
+
+
+def test_scopes_are_deleted_within_files(spark, graph):
+    """Ends in other files, ids in two files and null ends take the joins; without them, nothing is moved."""
+    nodes, edges = graph
+    home = edges.where("source_id IN ('a', 'b') AND target_id = 'b'").unionByName(
+        spark.createDataFrame([("null", None, None, "K", "r", "f"), ("half", "a", None, "K", "r", "f"), ("own", "g", "g", "K", "r", "g")], EDGE)
+    )
+    alone = nodes.where("id IS NULL OR id <> 's'")
+    scopes = [spark.createDataFrame([("r", f), ("r", "absent"), (None, "g")], "repo_name string, file_path string") for f in "fgh"]
+    for some_nodes, some_edges in ((nodes, edges), (alone, home)):
+        for scope in scopes:
+            dealt = by_file(some_nodes, some_edges, scope)
+            for got, want in zip(M.delete_scope(*dealt, dealt=True), M.delete_scope(some_nodes, some_edges, scope)):
+                assert rows(got) == rows(want)
+            new = [df.where("file_path = 'f' OR id = 'lone'") for df in (some_nodes.dropDuplicates(["id"]), some_edges)]
+            got = M.replace_scope(*dealt, *by_file(*new), dealt=True)
+            for one, other in zip(got, M.replace_scope(some_nodes, some_edges, scope, *new)):
+                assert rows(one) == rows(other)
+
+
+def test_upserts_within_files_equal_plain_ones(spark, graph):
+    nodes, _ = graph
+    batch = spark.createDataFrame([("a", "r", "f", "new"), ("s", "r", "g", "new"), ("lone", "r", "elsewhere", "new"), (None, "r", "g", "new"), ("n", None, "g", "new")], NODE)
+    target, rows_in = by_file(nodes, batch)
+    assert rows(M.replace_upsert(target, rows_in, ["id"], within=M.FILE)) == rows(M.replace_upsert(nodes, batch, ["id"]))
+
+
+@pytest.mark.parametrize("name", ["dm4_delete_scope", "dm5_replace_scope"])
+def test_orders_are_moved_without_ids(spark, name):
+    """No identity is made before an exchange."""
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "sha2" in plan
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above = None
+    for line in plan.splitlines():
+        above = None if above is not None and depth(line) <= above else above
+        if "Exchange" in line and above is None:
+            above = depth(line)
+        assert above is None or "sha2" not in line
+
+
+def test_order_graph_with_a_hot_customer_and_repeated_orders(spark, tmp_path, monkeypatch):
+    """A file too large for a task is not dealt out; an order that comes twice gives its edges twice, as the join did."""
+    from weft.plans import adapters
+
+    spark.read.parquet(f"{SF_DIR}/customer.parquet").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
+    orders.unionAll(orders.where("o_orderkey % 5 = 0")).write.parquet(str(tmp_path / "orders.parquet"))
+    whole = adapters.order_graph(spark, str(tmp_path))
+    monkeypatch.setattr(adapters, "BLOCK_ROWS", 3)
+    split = adapters.order_graph(spark, str(tmp_path))
+    assert whole["dealt"] and not split["dealt"]
+    for name in ("nodes", "edges", "new_nodes", "new_edges", "scope"):
+        assert rows(whole[name]) == rows(split[name])
+    per_source = {r.n for r in whole["edges"].groupBy("source_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert 4 in per_source

@@ -13,6 +13,11 @@ from weft.plans.catalog import query
 _WITH = f"WITH {ORDER_GRAPH_SQL}"
 
 
+def _within(g):
+    """The columns by which the rows of a graph lie together."""
+    return M.FILE if g["dealt"] else ()
+
+
 @query(
     "dm1_replace_upsert",
     """WITH target AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'O'),
@@ -56,13 +61,13 @@ def dm1_repeats(spark, sf_dir):
 @query("dm2_merge_nodes", f"{_WITH} SELECT * FROM merged_nodes")
 def dm2(spark, sf_dir):
     g = order_graph(spark, sf_dir)
-    return M.replace_upsert(g["nodes"], g["new_nodes"], ["id"])
+    return M.replace_upsert(g["nodes"], g["new_nodes"], ["id"], within=_within(g))
 
 
 @query("dm3_merge_edges", f"{_WITH} SELECT * FROM merged_edges")
 def dm3(spark, sf_dir):
     g = order_graph(spark, sf_dir)
-    return M.replace_upsert(g["edges"], g["new_edges"], ["id"])
+    return M.replace_upsert(g["edges"], g["new_edges"], ["id"], within=_within(g))
 
 
 @query(
@@ -73,7 +78,7 @@ def dm3(spark, sf_dir):
 def dm3_placeholders(spark, sf_dir):
     """All edges but only the replayed nodes have arrived."""
     g = order_graph(spark, sf_dir)
-    return M.placeholders(g["new_nodes"], g["edges"])
+    return M.placeholders(g["new_nodes"], g["edges"], g["dealt"])
 
 
 @query(
@@ -83,7 +88,7 @@ def dm3_placeholders(spark, sf_dir):
 )
 def dm4(spark, sf_dir):
     g = order_graph(spark, sf_dir)
-    parts = zip(("node", "edge", "deleted node"), M.delete_scope(g["nodes"], g["edges"], g["scope"]))
+    parts = zip(("node", "edge", "deleted node"), M.delete_scope(g["nodes"], g["edges"], g["scope"], g["dealt"]))
     nodes, edges, gone = [df.select(F.lit(kind).alias("kind"), "id") for kind, df in parts]
     return nodes.unionByName(edges).unionByName(gone)
 
@@ -95,7 +100,7 @@ def dm4(spark, sf_dir):
 )
 def dm5(spark, sf_dir):
     g = order_graph(spark, sf_dir)
-    nodes, edges = M.replace_scope(g["nodes"], g["edges"], g["scope"], g["new_nodes"], g["new_edges"])
+    nodes, edges = M.replace_scope(g["nodes"], g["edges"], g["scope"], g["new_nodes"], g["new_edges"], g["dealt"])
     columns = ["id", "file_path", "file_hash"]
     return nodes.select(F.lit("node").alias("kind"), *columns).unionByName(
         edges.select(F.lit("edge").alias("kind"), *columns)
@@ -118,7 +123,7 @@ def _metadata(g, merged: bool):
 )
 def dm6(spark, sf_dir):
     g = order_graph(spark, sf_dir)
-    merged = M.replace_upsert(g["nodes"], g["new_nodes"], ["id"])
+    merged = M.replace_upsert(g["nodes"], g["new_nodes"], ["id"], within=_within(g))
     return M.current_generation(merged, _metadata(g, merged=True)).select(*g["nodes"].columns)
 
 
@@ -140,8 +145,8 @@ def st4(spark, sf_dir):
 def st5(spark, sf_dir):
     """Rows a merge leaves behind and a scoped replace removes."""
     g = order_graph(spark, sf_dir)
-    merged = M.replace_upsert(g["nodes"], g["new_nodes"], ["id"])
-    nodes, _ = M.replace_scope(g["nodes"], g["edges"], g["scope"], g["new_nodes"], g["new_edges"])
+    merged = M.replace_upsert(g["nodes"], g["new_nodes"], ["id"], within=_within(g))
+    nodes, _ = M.replace_scope(g["nodes"], g["edges"], g["scope"], g["new_nodes"], g["new_edges"], g["dealt"])
     return M.stale_rows(merged, nodes)
 
 
@@ -162,10 +167,10 @@ def st5(spark, sf_dir):
 def vr5_report(spark, sf_dir):
     """Nodes and edges of every file before and after its replay."""
     g = order_graph(spark, sf_dir)
-    after = M.replace_scope(g["nodes"], g["edges"], g["scope"], g["new_nodes"], g["new_edges"])
+    after = M.replace_scope(g["nodes"], g["edges"], g["scope"], g["new_nodes"], g["new_edges"], g["dealt"])
 
     def state(nodes, edges):
-        counts = G.file_graph_counts(nodes, edges)
+        counts = G.file_graph_counts(nodes, edges, g["dealt"])
         pair = F.array(
             F.struct(F.lit("nodes").alias("m"), F.col("node_count").alias("value")),
             F.struct(F.lit("edges").alias("m"), F.col("edge_count").alias("value")),
@@ -199,7 +204,7 @@ def vr5_report(spark, sf_dir):
 )
 def vr5(spark, sf_dir):
     g = order_graph(spark, sf_dir)
-    nodes, edges = M.replace_scope(g["nodes"], g["edges"], g["scope"], g["new_nodes"], g["new_edges"])
+    nodes, edges = M.replace_scope(g["nodes"], g["edges"], g["scope"], g["new_nodes"], g["new_edges"], g["dealt"])
 
     def documents(merged):
         return _metadata(g, merged).withColumn("metadata_id", F.concat_ws(":", "repo_name", "file_path"))
@@ -207,4 +212,4 @@ def vr5(spark, sf_dir):
     before = {"nodes": g["nodes"], "edges": g["edges"], "metadata": documents(False)}
     after = {"nodes": nodes, "edges": edges, "metadata": documents(True)}
     state = V.file_state(before, "orders", "cust/27")
-    return V.replay_summary(state, after, "orders", "cust/27", F.sha2(F.lit("cust/27v2"), 256))
+    return V.replay_summary(state, after, "orders", "cust/27", F.sha2(F.lit("cust/27v2"), 256), g["dealt"])
