@@ -174,3 +174,31 @@ def test_only_files_that_differ_are_compared(spark, monkeypatch, sent):
     if sent:
         plan = left._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_only_repeated_keys_are_moved(spark, monkeypatch):
+    """A batch whose keys occur once is returned as it is; repeated and null keys give their latest rows."""
+    batch = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z"), (None, 4, "n"), (None, 5, "m")], "k string, offset long, v string")
+    want = sorted(map(tuple, M.latest_per_key(batch, ["k"], ["offset"]).collect()), key=repr)
+    assert sorted(map(tuple, M.newest_rows(batch, ["k"], ["offset"]).collect()), key=repr) == want
+    once = batch.where("offset IN (2, 3)")
+    assert M.newest_rows(once, ["k"], ["offset"]) is once
+    monkeypatch.setattr(M, "SENT_KEYS", 0)
+    assert sorted(map(tuple, M.newest_rows(batch, ["k"], ["offset"]).collect()), key=repr) == want
+
+
+def test_new_files_are_stored_without_a_join(spark, tmp_path, monkeypatch):
+    """Rows that replace nothing are added; the others replace theirs."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from weft.operators import file_table
+
+    schema = StructType([StructField(c, StringType()) for c in ("id", "repo_name", "file_path", "v")])
+    joins = []
+    plain = file_table.replace_upsert
+    monkeypatch.setattr(file_table, "replace_upsert", lambda *a: joins.append(1) or plain(*a))
+    stored = file_table.FileTable(spark, str(tmp_path / "t"), schema, buckets=3)
+    for part in ([("a", "r", "f", "1"), ("b", "r", "g", "1")], [("c", "r", "h", "1"), ("d", "r", "f", "1")], [("a", "r", "f", "2"), ("e", "r", "g", "2")]):
+        stored.apply(spark.createDataFrame(part, schema))
+    assert {(r.id, r.v) for r in stored.read().collect()} == {("a", "2"), ("b", "1"), ("c", "1"), ("d", "1"), ("e", "2")}
+    assert len(joins) == 1
