@@ -127,3 +127,16 @@ def test_order_graph_with_a_hot_customer_and_repeated_orders(spark, tmp_path, mo
         assert rows(whole[name]) == rows(split[name])
     per_source = {r.n for r in whole["edges"].groupBy("source_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
     assert 4 in per_source
+
+
+def test_sorted_edges_move_packed_ids(spark):
+    """Half the bytes are moved, in the same total order."""
+    from pyspark.sql import functions as F
+
+    found = entry.queries()["sl4_sorted_edges"](spark, SF_DIR)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sort = plan.index("rangepartitioning")
+    assert "unhex" in plan[sort:]
+    keys = found.select("edge_type", "source_id", "target_id").where("file_path < 'doc/3'").collect()
+    assert len(keys) > 1000 and keys == sorted(keys) and {len(r.source_id) for r in keys} == {64}
+    assert found.where(~F.col("target_id").rlike("^[0-9a-f]{64}$")).count() == 0
