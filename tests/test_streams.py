@@ -1,5 +1,6 @@
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -342,3 +343,30 @@ def test_document_store_options():
     assert options["idFieldList"] == "metadata_id"
     assert options["operationType"] == "replace"
     assert options["upsertDocument"] == "true"
+
+
+def test_placeholders_of_many_ids_share_a_group(spark, sources, tmp_path, monkeypatch):
+    """Python is called per group of ids, not per id, and the changes are the same for any number of groups."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    resolve = J._resolve
+
+    def counted(key, parts, state):
+        (calls / uuid.uuid4().hex).touch()
+        return resolve(key, parts, state)
+
+    monkeypatch.setattr(J, "STATE_GROUPS", 2)
+    monkeypatch.setattr(J, "_resolve", counted)
+    log, out, full = (str(tmp_path / name) for name in ("log", "out", "full"))
+    publish(sources, full, {"a.py": MODIFIED})
+    nodes, edges = (read_log(spark, full, topic) for topic in (NODES_TOPIC, EDGES_TOPIC))
+    half = F.col("offset") % 2 == 0
+    for part in (edges.unionByName(nodes.where(half)), nodes.where(~half), edges):
+        part.write.mode("append").partitionBy("topic").parquet(log)
+        J.start_placeholders(stream_log(spark, log, NODES_TOPIC, EDGES_TOPIC), out, available_now=True).awaitTermination()
+    changes = spark.read.parquet(f"{out}/changes")
+    late = {i for (i,) in nodes.where(~half).select(F.get_json_object(F.col("value").cast("string"), "$.node_id")).collect()}
+    for kind in ("placeholder", "resolved"):
+        found = [r.id for r in changes.where(F.col("change") == kind).collect()]
+        assert len(found) == len(set(found)) and set(found) == late
+    assert 0 < len(list(calls.iterdir())) <= 2 * 3

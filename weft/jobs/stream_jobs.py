@@ -230,26 +230,30 @@ def start_graph(
     return nodes, edges
 
 
+#: Ids are dealt to so many groups of state by a hash. Python is called once per group and batch, and a group is written as a whole when
+#: one of its ids comes; a checkpoint holds for one number.
+STATE_GROUPS = 1 << 13
+
+
 def _resolve(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What becomes of one id: whether its node was seen, and whether it was reported as a placeholder."""
-    node, reported = state.get if state.exists else (False, False)
+    """What becomes of the ids of a group: those whose nodes were seen, and those reported as placeholders."""
+    nodes, reported = map(set, state.get) if state.exists else (set(), set())
+    ends = set()
     for part in parts:
-        node = node or bool(part["is_node"].any())
-    change = None
-    if node and reported:
-        change, reported = "resolved", False
-    elif not node and not reported:
-        change, reported = "placeholder", True
-    state.update((node, reported))
-    if change:
-        yield pd.DataFrame({"id": [key[0]], "change": [change]})
+        is_node = part["is_node"].to_numpy(dtype=bool)
+        nodes.update(part["id"][is_node])
+        ends.update(part["id"][~is_node])
+    resolved, new = reported & nodes, ends - nodes - reported
+    state.update((sorted(nodes), sorted(reported - resolved | new)))
+    if resolved or new:
+        yield pd.DataFrame({"id": [*resolved, *new], "change": ["resolved"] * len(resolved) + ["placeholder"] * len(new)})
 
 
 def placeholder_changes(graph_log: DataFrame) -> DataFrame:
     """Placeholders as they come and go (JN-6, SS-5): (id, change) of a log with node and edge events.
 
     An end of an edge whose node no batch has brought yet is a ``placeholder``; when its node comes, it is
-    ``resolved``. One flag pair per id is kept as state, partitioned by id; ends and nodes of a batch may arrive in
+    ``resolved``. The ids of both kinds are kept as state, in groups by a hash of the id; ends and nodes of a batch may arrive in
     any order, and an end that follows its node gives nothing.
     """
     text = F.col("value").cast("string")
@@ -257,8 +261,8 @@ def placeholder_changes(graph_log: DataFrame) -> DataFrame:
     ends = F.array(F.get_json_object(text, "$.source_id"), F.get_json_object(text, "$.target_id"))
     ids = F.when(is_node, F.array(F.get_json_object(text, "$.node_id"))).otherwise(ends)
     rows = graph_log.where(F.col("topic").isin(NODES_TOPIC, EDGES_TOPIC)).select(is_node.alias("is_node"), F.explode(ids).alias("id"))
-    named = rows.where("id IS NOT NULL").groupBy("id")
-    shape, kept = "id string, change string", "node boolean, reported boolean"
+    named = rows.where("id IS NOT NULL").withColumn("state_group", F.pmod(F.xxhash64("id"), F.lit(STATE_GROUPS))).groupBy("state_group")
+    shape, kept = "id string, change string", "nodes array<string>, reported array<string>"
     return named.applyInPandasWithState(_resolve, shape, kept, "append", GroupStateTimeout.NoTimeout)
 
 
