@@ -140,3 +140,14 @@ def test_sorted_edges_move_packed_ids(spark):
     keys = found.select("edge_type", "source_id", "target_id").where("file_path < 'doc/3'").collect()
     assert len(keys) > 1000 and keys == sorted(keys) and {len(r.source_id) for r in keys} == {64}
     assert found.where(~F.col("target_id").rlike("^[0-9a-f]{64}$")).count() == 0
+
+
+def test_a_clean_table_is_read_once_for_duplicates(spark, graph):
+    """Nothing is left to compute once the hashes tell that no key repeats; keys that repeat in a file alone are found."""
+    nodes, _ = graph
+    clean = duplicate_groups(nodes.where("id IN ('a', 'g', 'lone')"), ["id"], M.FILE)
+    assert "Aggregate" not in clean._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(clean) == []
+    assert rows(duplicate_groups(nodes.where("id <> 's'"), ["id"], M.FILE)) == ["Row(count=2, id='b')"]
+    pairs = duplicate_groups(nodes, ["id", "type"], M.FILE)
+    assert rows(pairs) == rows(duplicate_groups(nodes, ["id", "type"])) == []
