@@ -142,6 +142,25 @@ def test_sorted_edges_move_packed_ids(spark):
     assert found.where(~F.col("target_id").rlike("^[0-9a-f]{64}$")).count() == 0
 
 
+def test_ends_at_home_take_no_second_look(spark, graph, monkeypatch):
+    """Where every end is a node of its own file or no node at all, one pass over hashes settles it; results are those of the plain joins."""
+    nodes, edges = graph
+    nodes, edges = nodes.where("id IS NULL OR id <> 's'"), edges.where("(source_id <> 's' OR target_id IS NULL) AND coalesce(target_id, '') NOT IN ('g', 's') AND source_id <> 'n'")
+    assert M.all_at_home(nodes, edges) and edges.count() == 5
+    many_nulls = nodes.unionByName(spark.createDataFrame([(None, "r", "f", "N")], NODE))
+    assert M.all_at_home(many_nulls, edges)
+    assert not M.all_at_home(*graph)
+    want = [rows(f(*args)) for f, args in ((G.edges_with_ends, (edges, nodes)), (G.file_graph_counts, (nodes, edges)))]
+
+    def refuse(*_):
+        raise AssertionError("looked up again")
+
+    monkeypatch.setattr(G, "of_one_file", refuse)
+    monkeypatch.setattr(G, "rows_of", refuse)
+    assert rows(G.edges_with_ends(edges, nodes, dealt=True)) == want[0]
+    assert rows(G.file_graph_counts(nodes, edges, dealt=True)) == want[1]
+
+
 def test_a_clean_table_is_read_once_for_duplicates(spark, graph):
     """Nothing is left to compute once the hashes tell that no key repeats; keys that repeat in a file alone are found."""
     nodes, _ = graph
