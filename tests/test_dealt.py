@@ -170,3 +170,13 @@ def test_a_clean_table_is_read_once_for_duplicates(spark, graph):
     assert rows(duplicate_groups(nodes.where("id <> 's'"), ["id"], M.FILE)) == ["Row(count=2, id='b')"]
     pairs = duplicate_groups(nodes, ["id", "type"], M.FILE)
     assert rows(pairs) == rows(duplicate_groups(nodes, ["id", "type"])) == []
+
+
+def test_edges_come_in_the_order_of_their_file(spark):
+    """Equal ends of edges lie near each other: a task's edges follow the order of the nodes."""
+    from weft.operators.edges import typed_edges
+
+    nodes = [("r", "f", f"n{i:03}", f"module.body[{i}]", "Name", f"v{i % 7}", "Store" if i % 3 else "Load", i, 0) for i in range(1, 200)]
+    df = spark.createDataFrame(nodes, "repo_name string, file_path string, node_id string, structural_path string, node_type string, name string, ctx string, lineno int, col_offset int")
+    found = typed_edges(df.repartition(1, *M.FILE), dealt=True).where("edge_type = 'CFG'").collect()
+    assert [r.source_id for r in found] == [f"n{i:03}" for i in range(1, 199)]
