@@ -98,3 +98,37 @@ def test_every_credential_counts(spark, monkeypatch):
     assert len(seen[1][0]) < len(seen[0][0]) / 20 and seen[1][2]
     assert all(few.automata["assign"].bits(t) < 8 for t in tokens)
     assert whole.ordinary.heads["^"] == len({*ends, *re.findall("[A-Za-z]{6,}", " ".join(t for _, t in rows))})
+
+
+def test_short_and_long_credentials_are_learned_whole(spark):
+    """Credentials of six characters count, and of those beyond the depth of a tree every character."""
+    random.seed(6)
+
+    def letters(n):
+        return "".join(random.choices("01adghxyXYZ_", k=n))
+
+    sizes = [6, 15, secrets.DEPTH, secrets.DEPTH + 1, secrets.DEPTH + 2, 2 * secrets.DEPTH + 2, 2 * secrets.DEPTH + 3, 1000]
+    tokens = [letters(n) for n in sizes for _ in range(5)]
+    docs = spark.createDataFrame([(i, f"token={t}") for i, t in enumerate(tokens)], "doc_id long, text string")
+    learned, plain = secrets.learn(docs), secrets.Automaton(tokens)
+    automaton = learned.automata["assign"]
+    assert learned.shortest["assign"] == 6
+    assert [automaton.bits(t) for t in tokens] == [plain.bits(t) for t in tokens]
+    assert all(automaton.bits(t) < 8 for t in tokens)
+    # Steps that no pair of pieces shares: the tails of long credentials are there.
+    tail = [f"token={'0' * 60}{'a' * n}" for n in range(1, 40)]
+    late = secrets.learn(spark.createDataFrame(list(enumerate(tail)), "doc_id long, text string")).automata["assign"]
+    assert late.bits("0" * 60 + "a" * 20) < 8
+
+
+def test_few_prefixes_of_long_credentials(spark, monkeypatch):
+    """However few prefixes the driver holds, each class of a long credential counts once, and each credential ends once."""
+    random.seed(7)
+    tokens = ["".join(random.choices("01adghxyXYZ_", k=random.randint(6, 120))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, f"token={t}") for i, t in enumerate(tokens)], "doc_id long, text string")
+    seen, counted = [], secrets.Automaton.counted
+    monkeypatch.setattr(secrets.Automaton, "counted", lambda *counts: seen.append([dict(c) for c in counts]) or counted(*counts))
+    secrets.learn(docs), secrets.learn(docs, share=20)
+    for through, stops, back in seen:
+        assert sum(through.values()) + sum(back.values()) == sum(map(len, tokens)) and sum(stops.values()) == len(tokens)
+        assert max(map(len, through)) <= secrets.DEPTH
