@@ -6,6 +6,7 @@ from conftest import SF_DIR
 import __spark_entry__ as entry
 from weft.operators import graph as G
 from weft.operators import merge as M
+from weft.operators import rollup as R
 from weft.operators.duplicates import duplicate_groups
 from weft.plans.reports import identity_drift
 
@@ -180,3 +181,19 @@ def test_edges_come_in_the_order_of_their_file(spark):
     df = spark.createDataFrame(nodes, "repo_name string, file_path string, node_id string, structural_path string, node_type string, name string, ctx string, lineno int, col_offset int")
     found = typed_edges(df.repartition(1, *M.FILE), dealt=True).where("edge_type = 'CFG'").collect()
     assert [r.source_id for r in found] == [f"n{i:03}" for i in range(1, 199)]
+
+
+def test_duplicates_are_counted_in_one_reading(spark, tmp_path):
+    """Keys that repeat in one file are groups by their hash; rows are read again only where several share one."""
+    file = [("r", "a"), ("r", "a"), ("r", "a"), ("r", "b"), ("r", "b"), ("r", "b")]
+    here = spark.createDataFrame([(*f, k) for f, k in zip(file, ["x", "x", "y", "z", None, None])], "repo_name string, file_path string, id string")
+    here.write.parquet(f"{tmp_path}/here")
+    stored = spark.read.parquet(f"{tmp_path}/here").repartition(3, *M.FILE)
+    counted = R.duplicate_summary(stored, ["id"], "n", M.FILE)
+    assert counted.collect()[0].n == 1 == R.duplicate_groups(stored, ["id"], M.FILE).count()
+    assert not any("here" in path for path in counted.inputFiles())
+    across = stored.unionByName(spark.createDataFrame([("r", "c", "y"), ("r", "c", "x"), ("r", "c", "z"), ("r", "d", "z")], stored.schema))
+    for keys in (["id"], ["id", "repo_name"]):
+        want = R.duplicate_groups(across, keys).count()
+        assert R.duplicate_summary(across, keys, "n", M.FILE).collect()[0].n == want == R.duplicate_summary(across, keys, "n").collect()[0].n
+    assert R.duplicate_summary(stored.where("id = 'y'"), ["id"], "n", M.FILE).collect()[0].n == 0
