@@ -197,3 +197,20 @@ def test_duplicates_are_counted_in_one_reading(spark, tmp_path):
         want = R.duplicate_groups(across, keys).count()
         assert R.duplicate_summary(across, keys, "n", M.FILE).collect()[0].n == want == R.duplicate_summary(across, keys, "n").collect()[0].n
     assert R.duplicate_summary(stored.where("id = 'y'"), ["id"], "n", M.FILE).collect()[0].n == 0
+
+
+def test_drift_of_dealt_runs_reads_each_once(spark, graph, monkeypatch):
+    """No digests are taken first where the rows of a file lie together; the drift is the same."""
+    from weft.plans import reports
+
+    nodes, _ = graph
+    less = nodes.where("id NOT IN ('lone', 's') OR file_path = 'g' OR id IS NULL")
+    want = rows(identity_drift(nodes, less))
+
+    def refuse(*_):
+        raise AssertionError("read before")
+
+    monkeypatch.setattr(reports, "differing", refuse)
+    dealt = [df.repartition(3, *M.FILE) for df in (nodes, less)]
+    assert rows(identity_drift(*dealt, dealt=True)) == want == [f"Row(id='{i}', in_first=True)" for i in ("lone", "s")]
+    assert rows(identity_drift(dealt[1], dealt[0], dealt=True)) == [f"Row(id='{i}', in_first=False)" for i in ("lone", "s")]
