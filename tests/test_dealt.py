@@ -214,3 +214,10 @@ def test_drift_of_dealt_runs_reads_each_once(spark, graph, monkeypatch):
     dealt = [df.repartition(3, *M.FILE) for df in (nodes, less)]
     assert rows(identity_drift(*dealt, dealt=True)) == want == [f"Row(id='{i}', in_first=True)" for i in ("lone", "s")]
     assert rows(identity_drift(dealt[1], dealt[0], dealt=True)) == [f"Row(id='{i}', in_first=False)" for i in ("lone", "s")]
+
+
+def test_edges_of_two_states_are_counted_once(spark):
+    """The edges are the same before and after: their count is shared."""
+    found = entry.queries()["jn9_metric_comparison"](spark, SF_DIR)
+    assert {r.metric: r.delta for r in found.collect()}["edge_count"] == "+0"
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
